@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +26,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part holds about SLICE_BYTES of ``column``; every row stays."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
+    held_in = batch.column(column)
+    if pa.types.is_list(held_in.type):
+        sizes = pc.multiply(pc.fill_null(pc.list_value_length(held_in), 0), 4).to_pylist()
+    else:
+        sizes = pc.fill_null(pc.binary_length(held_in), 0).to_pylist()
     start = held = 0
     for i, n in enumerate(sizes):
         if held and held + n > SLICE_BYTES:
@@ -55,3 +62,58 @@ def durable(df: DataFrame) -> DataFrame:
     elif not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
     return df.checkpoint(eager=True)
+
+
+class Codes(dict):
+    """Distinct keys numbered in the order they are first seen."""
+
+    def __missing__(self, key):
+        code = self[key] = len(self)
+        return code
+
+
+class ChunkTable:
+    """Ids of each distinct chunk, found once; texts are joined back from them by position.
+
+    ``segment`` maps a list of new chunks to a list of id sequences. The table is emptied
+    when it holds more than ``limit`` chunks, so that a worker's memory stays bounded; that
+    only costs a second segmentation, never a different result."""
+
+    def __init__(self, segment: Callable[[list[str]], list], limit: int = 250_000):
+        self.segment, self.limit = segment, limit
+        self._clear()
+
+    def _clear(self) -> None:
+        self.codes, self.done = Codes(), 0
+        self.starts = self.lengths = np.zeros(0, np.int64)
+        self.pool = np.zeros(0, np.int32)
+
+    def ids(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of all texts (given as chunk lists) and the offset of each text in them."""
+        if len(self.codes) > self.limit:
+            self._clear()
+        flat = [c for t in texts for c in t]
+        code = np.fromiter(map(self.codes.__getitem__, flat), np.int64, len(flat))
+        if len(self.codes) > self.done:
+            new = list(self.codes)[self.done :]
+            found = self.segment(new)
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            joined = np.fromiter((i for x in found for i in x), np.int32, int(sizes.sum()))
+            self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])
+            self.lengths = np.concatenate([self.lengths, sizes])
+            self.pool = np.concatenate([self.pool, joined])
+            self.done = len(self.codes)
+        size = self.lengths[code]
+        ends = np.cumsum(size)
+        out = self.pool[np.repeat(self.starts[code] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+        upto = np.concatenate([[0], ends])
+        return out, upto[np.cumsum([0, *map(len, texts)])]
+
+
+def durable_table(df: DataFrame) -> DataFrame:
+    """Write to a new Parquet folder under spark.checkpoint.dir and read it back (columns can be picked on reading)."""
+    spark = df.sparkSession
+    top = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    path = f"{top.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "snappy").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
