@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import compress_lang, pieces, quality, rans
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_token_files": rans.query,
+        "op5_sentencepiece": pieces.query,
         "op7_quality_rules": quality.query,
+        "op10_language": compress_lang.query,
     }
 
 
