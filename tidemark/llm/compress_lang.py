@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from .common import per_slice, table
 
-TRAIN_ROWS, LONGEST, PIECE, LEVEL, MARGIN = 64, 2000, 1 << 12, 1, 0.01
+TRAIN_ROWS, LONGEST, PIECE, LEVEL, MARGIN = 64, 2000, 1 << 12, 6, 0.01
 _OTHER = re.compile(r"[\W\d_]+")
 
 

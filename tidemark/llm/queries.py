@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import compress_lang, pieces, quality, rans
+from . import compress_lang, decontaminate, licenses, pieces, quality, rans
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_files": rans.query,
         "op5_sentencepiece": pieces.query,
+        "op6_decontamination": decontaminate.query,
         "op7_quality_rules": quality.query,
+        "op9_licenses": licenses.query,
         "op10_language": compress_lang.query,
     }
 
@@ -21,4 +23,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op7_quality_rules": quality.oracle(),
+        "op9_licenses": licenses.oracle(),
     }
