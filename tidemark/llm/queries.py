@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import compress_lang, decontaminate, licenses, pieces, quality, rans
+from . import compress_lang, decontaminate, jaccard_join, licenses, pieces, quality, rans
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_sentencepiece": pieces.query,
         "op6_decontamination": decontaminate.query,
         "op7_quality_rules": quality.query,
+        "op8_jaccard_join": jaccard_join.query,
         "op9_licenses": licenses.query,
         "op10_language": compress_lang.query,
     }
@@ -23,5 +24,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op7_quality_rules": quality.oracle(),
+        "op8_jaccard_join": jaccard_join.oracle(),
         "op9_licenses": licenses.oracle(),
     }
