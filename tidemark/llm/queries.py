@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import compress_lang, decontaminate, jaccard_join, licenses, pieces, quality, rans
+from . import compress_lang, decontaminate, jaccard_join, licenses, pieces, quality, rans, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_substring_dedup": substring_dedup.query,
         "op2_token_files": rans.query,
         "op5_sentencepiece": pieces.query,
         "op6_decontamination": decontaminate.query,
