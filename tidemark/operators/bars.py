@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 def ohlcv(ticks: DataFrame, keys: Sequence[str], ts: str = "ts", price: str = "price", size: str = "size") -> DataFrame:
     return ticks.groupBy(*keys).agg(
         F.min(ts).alias("time_open"), F.max(ts).alias("time_close"), F.min_by(price, ts).alias("open"), F.min(price).alias("low"), F.max(price).alias("high"), F.max_by(price, ts).alias("close"),
-        (F.sum(F.col(price) * F.col(size)) / F.sum(size)).alias("vwap"), F.sum(size).alias("volume"),
+        F.try_divide(F.sum(F.col(price) * F.col(size)), F.sum(size)).alias("vwap"), F.sum(size).alias("volume"),
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import panel_queries
+from . import model_queries, panel_queries, tick_queries  # noqa: F401
 from .registry import ORACLES, QUERIES, Query
 
 FLAGSHIP: Query = panel_queries.composite

@@ -91,10 +91,10 @@ def fill(spark, d):
     return panel(spark, d).select("entity", "month", F.round(W.forward_fill(g, RUN()), 6).alias("forward"), F.round(W.backward_fill(g, E()), 6).alias("backward"), F.round(F.coalesce(g, F.lit(0.0)), 6).alias("constant"))
 
 
-@query("imp_infinite", "select entity, month, round(case when qty <> 100 then px / (qty - 100) end, 4) as ratio from panel")
+@query("imp_infinite", "select entity, month, case when qty <> 100 then px / (qty - 100) end as ratio from panel")
 def infinite(spark, d):
     r = F.try_divide(F.col("px"), F.col("qty") - 100)
-    return panel(spark, d).select("entity", "month", F.round(S.null_if_nan(r), 4).alias("ratio"))
+    return panel(spark, d).select("entity", "month", S.null_if_nan(r).alias("ratio"))
 
 
 @query("jn_benchmark_inner", "select month, round(avg(ret), 6) as portfolio, round(any_value(mret), 6) as benchmark from panel join market using (month) where mret is not null group by month")

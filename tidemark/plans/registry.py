@@ -31,7 +31,10 @@ def query(name: str, sql: str | None = None, base: str = PANEL_SQL):
     def add(fn: Query) -> Query:
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = f"with {base.strip()}{',' if sql.lstrip().startswith('+') else ''} {sql.lstrip().removeprefix('+')}"
+            body = sql.lstrip()
+            recursive = body.startswith("+ recursive")
+            body = body.removeprefix("+ recursive").removeprefix("+") if body.startswith("+") else body
+            ORACLES[name] = f"with {'recursive ' if recursive else ''}{base.strip()}{',' if sql.lstrip().startswith('+') else ''} {body}"
         return fn
 
     return add
