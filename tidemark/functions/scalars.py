@@ -75,7 +75,8 @@ def longest(items: Column) -> Column:
 
 def score_or_null(text: Column) -> Column:
     """A number clipped to [0, 1], NULL where it doesn't parse."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_to_number(F.regexp_extract(text, r"-?\d+(\.\d+)?", 0), F.lit("S9999990.999999")).cast("double")))
+    number = F.regexp_extract(text, r"-?\d+(\.\d+)?", 0).try_cast("double")
+    return F.when(number.isNotNull(), clip(number, 0.0, 1.0))
 
 
 def bet_size(probability: Column, side: Column, classes: int = 2) -> Column:
