@@ -84,10 +84,12 @@ def apply(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     """The documents without their repeated runs; one that loses its last word goes, n_chars follows the text."""
     own = docs.columns
     held = spans(docs, run_words).groupBy(F.col("doc_id").alias("__doc"), F.col("row").alias("__row")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__held"))
-    both = docs.join(held, (F.col("doc_id") == F.col("__doc")) & (F.xxhash64("text") == F.col("__row")), "left")
-    text = F.when(F.col("__held").isNull(), F.col("text")).otherwise(_cut(F.col("text"), F.col("__held")))
-    out = both.withColumn("text", text).where("__held is null or text rlike '\\\\S'").select(*own)
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in own else out
+    rows = docs.select(F.struct(*own).alias("__own"), F.col("doc_id").alias("__id"), F.col("text").alias("__text"))
+    both = rows.join(held, (F.col("__id") == F.col("__doc")) & (F.xxhash64("__text") == F.col("__row")), "left")
+    text = F.when(F.col("__held").isNull(), F.col("__text")).otherwise(_cut(F.col("__text"), F.col("__held")))
+    left = both.withColumn("__text", text).where("__held is null or __text rlike '\\\\S'")
+    new = {"text": F.col("__text"), "n_chars": F.when(F.col("__held").isNull(), F.col("__own.n_chars")).otherwise(F.length("__text")).cast("long") if "n_chars" in own else None}
+    return left.select(*[new.get(c, F.col("__own").getField(c)).alias(c) for c in own])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
