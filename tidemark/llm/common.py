@@ -75,11 +75,11 @@ class Codes(dict):
 class ChunkTable:
     """Ids of each distinct chunk, found once; texts are joined back from them by position.
 
-    ``segment`` maps a list of new chunks to a list of id sequences. The table is emptied
-    when it holds more than ``limit`` chunks, so that a worker's memory stays bounded; that
-    only costs a second segmentation, never a different result."""
+    ``segment`` maps a list of new chunks to their id counts and joined ids. The table is
+    emptied when it holds more than ``limit`` chunks, so that a worker's memory stays
+    bounded; that only costs a second segmentation, never a different result."""
 
-    def __init__(self, segment: Callable[[list[str]], list], limit: int = 250_000):
+    def __init__(self, segment: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 300_000):
         self.segment, self.limit = segment, limit
         self._clear()
 
@@ -88,26 +88,38 @@ class ChunkTable:
         self.starts = self.lengths = np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.int32)
 
-    def ids(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids of all texts (given as chunk lists) and the offset of each text in them."""
+    def _known(self, chunks: list[str]) -> np.ndarray:
         if len(self.codes) > self.limit:
             self._clear()
-        flat = [c for t in texts for c in t]
-        code = np.fromiter(map(self.codes.__getitem__, flat), np.int64, len(flat))
+        code = np.fromiter(map(self.codes.__getitem__, chunks), np.int64, len(chunks))
         if len(self.codes) > self.done:
-            new = list(self.codes)[self.done :]
-            found = self.segment(new)
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            joined = np.fromiter((i for x in found for i in x), np.int32, int(sizes.sum()))
+            sizes, joined = self.segment(list(self.codes)[self.done :])
             self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])
             self.lengths = np.concatenate([self.lengths, sizes])
-            self.pool = np.concatenate([self.pool, joined])
+            self.pool = np.concatenate([self.pool, joined.astype(np.int32)])
             self.done = len(self.codes)
+        return code
+
+    def _join(self, code: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         size = self.lengths[code]
         ends = np.cumsum(size)
         out = self.pool[np.repeat(self.starts[code] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
-        upto = np.concatenate([[0], ends])
-        return out, upto[np.cumsum([0, *map(len, texts)])]
+        return out, np.concatenate([[0], ends])[cut]
+
+    def ids(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of all texts (given as chunk lists) and the offset of each text in them."""
+        return self._join(self._known([c for t in texts for c in t]), np.cumsum([0, *map(len, texts)]))
+
+    def ids_of_lists(self, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for an Arrow list of chunks per text; only distinct chunks become Python strings."""
+        flat = lists.flatten().dictionary_encode()
+        code = self._known(flat.dictionary.to_pylist())
+        return self._join(code[flat.indices.to_numpy()], lists.offsets.to_numpy() - lists.offsets[0].as_py())
+
+
+def joined(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return sizes, np.fromiter((i for x in lists for i in x), np.int64, int(sizes.sum()))
 
 
 def durable_table(df: DataFrame) -> DataFrame:

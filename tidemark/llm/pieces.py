@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ChunkTable, per_slice, table
+from .common import ChunkTable, joined, per_slice, table
 
 _CHUNK = re.compile("\n|▁*[^▁\n]+|▁+")
 
@@ -42,7 +42,7 @@ def _chunks(path: str) -> ChunkTable | None:
     head = sp.encode("\n")
     if any("▁" in p.lstrip("▁") or "\n" in p for p in pieces) or len(head) != 2 or sp.encode("\n ") != [*head, sp.piece_to_id("▁")]:
         return None
-    return ChunkTable(lambda new: [x[2:] for x in sp.encode(["\n" + c for c in new], num_threads=1)])
+    return ChunkTable(lambda new: joined([x[2:] for x in sp.encode(["\n" + c for c in new], num_threads=1)]))
 
 
 def encode_texts(texts: list[str | None], path: str) -> tuple:

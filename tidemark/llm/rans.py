@@ -16,21 +16,29 @@ crc32 u32 of all before.
 from __future__ import annotations
 
 import functools
+import os
+import re
 import struct
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import ChunkTable, durable_table, slices, table
 
-MAGIC, BITS, LANES, BLOCK = b"TMR1", 20, 8, 1 << 13
+MAGIC, BITS, LANES, BLOCK = b"TMR1", 20, 8, 1 << 12
 LOW = np.uint64(1 << 31)
 #: Ids in a file at most (a longer document has a file alone), and text bytes a partition is meant to hold.
 FILE_IDS, PARTITION_BYTES = 1 << 21, 16 << 20
+#: Added token of the tokenizer, put between chunks that are encoded together.
+SEPARATOR = 49406
+#: Chunks of these characters lower-case and compose to themselves, letter by letter; the second pattern cuts them as the tokenizer's does.
+_PLAIN = re.compile(r"(?!.*<\|)[!-~À-ÖØ-öø-ÿ]+")
+_PLAIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
 
 class CorruptFile(ValueError):
@@ -98,7 +106,10 @@ def _decode_blocks(states: np.ndarray, words: np.ndarray, starts: np.ndarray, st
 
 def write_file(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
     ids = np.asarray(ids, np.uint32)
-    symbols, index, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    counts = np.bincount(ids)
+    symbols = np.flatnonzero(counts)
+    index = (np.cumsum(counts > 0) - 1)[ids]
+    counts = counts[symbols]
     parts, n_words, n_blocks = [], 0, 0
     table_bytes = b""
     if len(ids):
@@ -166,27 +177,60 @@ def read_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 @functools.cache
 def _chunks(path: str) -> ChunkTable:
     """A text's ids are those of its space- or line-separated chunks: the pre-tokenizer never crosses white space."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
 
-    def segment(new: list[str]) -> list[list[int]]:
-        """New chunks are encoded many at a time; the offsets tell which chunk an id belongs to."""
-        out: list[list[int]] = [[] for _ in new]
-        groups = [range(i, min(i + 500, len(new))) for i in range(0, len(new), 500)]
-        for group, enc in zip(groups, tok.encode_batch([" ".join(new[i] for i in g) for g in groups], add_special_tokens=False), strict=True):
-            ends = np.cumsum([len(new[i]) + 1 for i in group])
-            owner = np.searchsorted(ends, [a for a, _ in enc.offsets], side="right")
-            for o, i in zip(owner.tolist(), enc.ids, strict=True):
-                out[group[o]].append(i)
-        return out
+    mark = tok.id_to_token(SEPARATOR)
+    ends_word = np.zeros(tok.get_vocab_size(), bool)
+    ends_word[[i for t, i in tok.get_vocab().items() if t.endswith("</w>")]] = True
+
+    def ids_of(texts: list[str]) -> np.ndarray:
+        return np.concatenate([np.array(tok.encode_batch_fast([t], add_special_tokens=False)[0].ids, np.int64) for t in texts])
+
+    def by_separator(new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Any chunks, many at a time with the separator token after each; a chunk that holds its text goes alone."""
+        odd = [i for i, c in enumerate(new) if mark in c]
+        plain = ["" if mark in c else c for c in new] if odd else new
+        ids = ids_of([mark.join(plain[i : i + 1000]) + mark for i in range(0, len(plain), 1000)])
+        at = np.flatnonzero(ids == SEPARATOR)
+        sizes, ids = np.diff(at, prepend=-1) - 1, np.delete(ids, at)
+        for i in reversed(odd):
+            own = tok.encode(new[i], add_special_tokens=False).ids
+            ids = np.insert(ids, sizes[:i].sum(), own)
+            sizes[i] = len(own)
+        return sizes, ids
+
+    def by_word_ends(new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Words as the pre-tokenizer cuts them, each of which ends with a word-end token; checked by their number."""
+        ids = ids_of([" ".join(new[i : i + 1000]) for i in range(0, len(new), 1000)])
+        at = np.flatnonzero(ends_word[ids])
+        return (np.diff(at, prepend=-1), ids) if len(at) == len(new) else by_separator(new)
+
+    words = ChunkTable(by_word_ends)
+
+    def segment(new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        cut = [_PLAIN_WORDS.findall(c.lower()) if _PLAIN.fullmatch(c) else None for c in new]
+        flat, at = words.ids([c or [] for c in cut])
+        sizes = np.diff(at)
+        other = [i for i, c in enumerate(cut) if c is None]
+        if other:
+            own_sizes, own = by_separator([new[i] for i in other])
+            starts = at[:-1].copy()
+            starts[other] = len(flat) + np.cumsum(own_sizes) - own_sizes
+            sizes[other] = own_sizes
+            upto = np.cumsum(sizes)
+            flat = np.concatenate([flat, own])[np.repeat(starts - (upto - sizes), sizes) + np.arange(upto[-1])]
+        return sizes, flat
 
     return ChunkTable(segment)
 
 
-def tokenize(texts: list[str | None], path: str) -> tuple[np.ndarray, np.ndarray]:
+def tokenize(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Flat ids and offsets of whole texts, exactly as the tokenizer gives them."""
-    return _chunks(path).ids([[c for c in t.replace("\n", " ").split(" ") if c] if t else [] for t in texts])
+    plain = pc.replace_substring(pc.fill_null(texts, ""), "\n", " ")
+    return _chunks(path).ids_of_lists(pc.split_pattern(plain, " "))
 
 
 def _files(path: str, end_id: int):
@@ -210,7 +254,7 @@ def _files(path: str, end_id: int):
 
         for batch in batches:
             for s in slices(batch, "text"):
-                flat, at = tokenize(s.column("text").to_pylist(), path)
+                flat, at = tokenize(s.column("text"), path)
                 sizes = np.diff(at)
                 held.append(np.insert(flat, at[1:], end_id).astype(np.uint32))
                 lengths.append(sizes + 1)
