@@ -29,7 +29,8 @@ def tick_sign(price: str, w) -> Column:
 
 
 def fold(ticks: DataFrame, key: Sequence[str], values: Sequence[Column], state: Column, step, out: str) -> DataFrame:
-    """A sequential scan per key as one fold over its time-ordered array; ``step`` appends to ``out``."""
+    """A sequential scan per key as one fold over its time-ordered array; ``step`` appends to ``out``,
+    which should be rare, since every append copies what was found before."""
     packed = ticks.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(*values))).alias("__v"))
     return packed.select(*key, F.explode(F.aggregate("__v", state, step, lambda s: s["out"])).alias(out))
 

@@ -41,12 +41,11 @@ def concurrency(events: DataFrame, bars: DataFrame, keys: Sequence[str], start:
     return up.unionByName(down).unionByName(here).withColumn("n_active", F.sum("__d").over(w)).where("__o = 1").drop("__d", "__o")
 
 
-def purge(train: DataFrame, test: DataFrame, start: str, end: str) -> DataFrame:
-    """Training intervals that overlap no test interval. Test intervals are merged into disjoint
-    ones, so that one as-of look decides each row."""
-    w = Window.orderBy(start, end)
-    seen = test.withColumn("__m", F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    runs = seen.withColumn("__g", F.sum(F.when(F.col("__m") >= F.col(start), 0).otherwise(1)).over(w)).groupBy("__g").agg(F.min(start).alias("__s"), F.max(end).alias("__e"))
-    one = F.lit(1).alias("__k")
-    found = as_of(train.select(one, *train.columns), runs.select(one, "__s", "__e"), ["__k"], end, "__s", ["__e"])
-    return found.where(F.col("__e").isNull() | (F.col("__e") < F.col(start))).select(*train.columns)
+def purge(train: DataFrame, test: DataFrame, start: str, end: str, id: str = "id", width: str = "1 day") -> DataFrame:
+    """Training intervals that overlap no test interval; both sides meet on the time buckets they span."""
+    seconds = {"1 day": 86400, "1 hour": 3600}[width]
+    bucket = lambda c: F.floor(F.col(c).cast("timestamp").cast("double") / seconds).cast("long")
+    spread = lambda d, *cols: d.select(*cols, F.explode(F.sequence(bucket(start), bucket(end))).alias("__b"))
+    held = spread(test, F.col(start).alias("__s"), F.col(end).alias("__e"))
+    hit = spread(train, id, start, end).join(held.distinct(), "__b").where((F.col(start) <= F.col("__e")) & (F.col(end) >= F.col("__s"))).select(id).distinct()
+    return train.join(hit, id, "left_anti")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import as_of, concurrency, in_range
@@ -50,9 +50,31 @@ def uniqueness(events: DataFrame, bars: DataFrame, key: Sequence[str]) -> DataFr
     return both.where(span > 0).withColumn("uniqueness", (F.col("s1") - F.coalesce("s0", F.lit(0.0))) / span).select(*own, "uniqueness")
 
 
-def fold_id(order: Sequence[str], folds: int) -> Column:
-    """Contiguous folds in one global order, the first ones a row longer; numbers come from a two-level rank."""
-    w = Window.orderBy(*order)
-    i, n = F.row_number().over(w) - 1, F.count(F.lit(1)).over(Window.partitionBy())
-    base, extra = F.floor(n / folds), n % folds
-    return F.when(i < extra * (base + 1), F.floor(i / (base + 1))).otherwise(extra + F.floor((i - extra * (base + 1)) / base)).cast("int")
+def numbered(df: DataFrame, order: Sequence[str], buckets: int = 256) -> DataFrame:
+    """``df`` plus __i, its place in the global order from 0, and __n, the number of rows.
+
+    Rows are dealt into buckets by approximate quantiles of the first column and ranked there;
+    only the buckets' counts are summed in one place."""
+    first = F.col(order[0]).cast("double")
+    cuts = df.agg(F.percentile_approx(first, [k / buckets for k in range(1, buckets)], 10_000).alias("__cuts"))
+    dealt = df.join(F.broadcast(cuts)).withColumn("__b", F.size(F.filter("__cuts", lambda c: c < first))).drop("__cuts")
+    counts = dealt.groupBy("__b").agg(F.count(F.lit(1)).alias("__c"))
+    before = counts.select("__b", (F.sum("__c").over(Window.orderBy("__b")) - F.col("__c")).alias("__before"), F.sum("__c").over(Window.partitionBy()).alias("__n"))
+    rank = F.row_number().over(Window.partitionBy("__b").orderBy(*order))
+    return dealt.join(F.broadcast(before), "__b").withColumn("__i", F.col("__before") + rank - 1).drop("__b", "__before")
+
+
+def folds(df: DataFrame, order: Sequence[str], count: int, name: str = "fold") -> DataFrame:
+    """Contiguous folds in one global order, the first ones a row longer."""
+    i, n = F.col("__i"), F.col("__n")
+    base, extra = F.floor(n / count), n % count
+    fold = F.when(i < extra * (base + 1), F.floor(i / (base + 1))).otherwise(extra + F.floor((i - extra * (base + 1)) / base)).cast("int")
+    return numbered(df, order).withColumn(name, fold).drop("__i", "__n")
+
+
+def embargo(df: DataFrame, order: Sequence[str], rows: int, time: str, name: str = "until") -> DataFrame:
+    """The time ``rows`` places later in the global order, the last time near its end."""
+    own = numbered(df, order)
+    later = own.select((F.col("__i") - rows).alias("__i"), F.col(time).alias("__t"))
+    last = df.agg(F.max(time).alias("__m"))
+    return own.join(later, "__i", "left").join(F.broadcast(last)).withColumn(name, F.coalesce("__t", "__m")).drop("__i", "__n", "__t", "__m")

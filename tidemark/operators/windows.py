@@ -98,20 +98,14 @@ def signed_sum(signs: dict[str, int]) -> Column:
 def ewm(df: DataFrame, keys: Sequence[str], order: str, x: str, span: float) -> DataFrame:
     """Exponentially weighted mean (adjusted, and recursive) and debiased standard deviation per row.
 
-    One fold per group over its ordered values; a group is one row's array, so the cost is
-    linear in the group, and the rows come back by position."""
-    a = 2 / (span + 1)
-    rows = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(x).alias("x")))).alias("__v"))
-    zero = F.struct(*[F.lit(0.0).alias(c) for c in ("w", "w2", "wx", "wxx")], F.lit(None).cast("double").alias("r"), F.array().cast("array<struct<o:timestamp,m:double,r:double,s:double>>").alias("out"))
-
-    def step(acc: Column, v: Column) -> Column:
-        w, w2 = acc["w"] * (1 - a) + 1, acc["w2"] * (1 - a) ** 2 + 1
-        wx, wxx = acc["wx"] * (1 - a) + v["x"], acc["wxx"] * (1 - a) + v["x"] * v["x"]
-        r = F.when(acc["r"].isNull(), v["x"]).otherwise(acc["r"] * (1 - a) + v["x"] * a)
-        mean = wx / w
-        var = F.when(w * w - w2 > 1e-12, F.greatest(F.lit(0.0), wxx / w - mean * mean) * w * w / (w * w - w2))
-        got = F.struct(v["o"].cast("timestamp").alias("o"), mean.alias("m"), r.alias("r"), F.sqrt(var).alias("s"))
-        return F.struct(w.alias("w"), w2.alias("w2"), wx.alias("wx"), wxx.alias("wxx"), r.alias("r"), F.concat(acc["out"], F.array(got)).alias("out"))
-
-    out = rows.select(*keys, F.explode(F.aggregate("__v", zero, step, lambda s: s["out"])).alias("e"))
-    return out.select(*keys, F.col("e.o").alias(order), F.col("e.m").alias("ewm_mean"), F.col("e.r").alias("ewm_recursive"), F.col("e.s").alias("ewm_std"))
+    The weights reach back over a group's whole history, which no frame expresses without
+    quadratic work, so each group is one Arrow batch and one linear pass."""
+    names = [*keys, order]
+
+    def run(pdf):
+        pdf = pdf.sort_values(order, kind="stable")
+        w = pdf[x].ewm(span=span)
+        return pdf[names].assign(ewm_mean=w.mean(), ewm_recursive=pdf[x].ewm(span=span, adjust=False).mean(), ewm_std=w.std())
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*names).schema.fields)
+    return df.select(*names, F.col(x).cast("double").alias(x)).groupBy(*keys).applyInPandas(run, schema + ", ewm_mean double, ewm_recursive double, ewm_std double")

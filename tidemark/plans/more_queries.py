@@ -143,7 +143,7 @@ def zero_at_barrier(spark, d):
  select cast(b.fold as int) as fold, count(*) as n_train from f, b where f.fold <> b.fold and (f.t1 < b.lo or f.t0 > b.hi) group by b.fold""", TICKS_SQL)
 def purged_train(spark, d):
     """Training rows left per fold once those that overlap the fold's span are purged."""
-    t = ticks(spark, d).select("event_id", F.col("ts").alias("t0"), (F.col("ts") + F.expr("interval 6 hours")).alias("t1"), L.fold_id(["ts", "event_id"], 5).alias("own"))
+    t = L.folds(ticks(spark, d).select("event_id", "ts"), ["ts", "event_id"], 5, "own").select("own", F.col("ts").alias("t0"), (F.col("ts") + F.expr("interval 6 hours")).alias("t1"))
     span = t.groupBy(F.col("own").alias("fold")).agg(F.min("t0").alias("lo"), F.max("t1").alias("hi"))
     both = t.join(F.broadcast(span), (F.col("own") != F.col("fold")) & ((F.col("t1") < F.col("lo")) | (F.col("t0") > F.col("hi"))))
     return both.groupBy("fold").agg(F.count(F.lit(1)).alias("n_train"))

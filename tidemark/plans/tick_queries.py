@@ -170,14 +170,12 @@ def imbalance_volume(spark, d):
 @query("cv_folds", """+ o as (select event_id, row_number() over (order by ts, event_id) - 1 as i, count(*) over () as n from ticks)
  select event_id, cast(case when i < (n % 7) * (n // 7 + 1) then i // (n // 7 + 1) else n % 7 + (i - (n % 7) * (n // 7 + 1)) // (n // 7) end as int) as fold from o""", TICKS_SQL)
 def cv_folds(spark, d):
-    return ticks(spark, d).select("event_id", L.fold_id(["ts", "event_id"], 7).alias("fold"))
+    return L.folds(ticks(spark, d).select("event_id", "ts"), ["ts", "event_id"], 7).select("event_id", "fold")
 
 
 @query("cv_embargo", "select event_id, lead(ts, 3, max_ts) over (order by ts, event_id) as until from (select *, max(ts) over () as max_ts from ticks)", TICKS_SQL)
 def cv_embargo(spark, d):
-    t = ticks(spark, d)
-    last = t.agg(F.max("ts").alias("m"))
-    return t.join(F.broadcast(last)).select("event_id", F.coalesce(F.lead("ts", 3).over(Window.orderBy("ts", "event_id")), "m").alias("until"))
+    return L.embargo(ticks(spark, d).select("event_id", "ts"), ["ts", "event_id"], 3, "ts").select("event_id", "until")
 
 
 @query("pf_bet_size", None)
