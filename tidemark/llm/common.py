@@ -111,10 +111,14 @@ class ChunkTable:
         return self._join(self._known([c for t in texts for c in t]), np.cumsum([0, *map(len, texts)]))
 
     def ids_of_lists(self, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-        """The same for an Arrow list of chunks per text; only distinct chunks become Python strings."""
-        flat = lists.flatten().dictionary_encode()
-        code = self._known(flat.dictionary.to_pylist())
-        return self._join(code[flat.indices.to_numpy()], lists.offsets.to_numpy() - lists.offsets[0].as_py())
+        """The same for an Arrow list of chunks per text."""
+        return self.ids_of(lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py())
+
+    def ids_of(self, flat: pa.StringArray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for all chunks in a row and the texts' offsets in them; only distinct chunks become Python strings."""
+        coded = flat.dictionary_encode()
+        code = self._known(coded.dictionary.to_pylist())
+        return self._join(code[coded.indices.to_numpy()], cut)
 
 
 def joined(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:

@@ -38,6 +38,10 @@ FILE_IDS, PARTITION_BYTES = 1 << 21, 16 << 20
 SEPARATOR = 49406
 #: Chunks of these characters lower-case and compose to themselves, letter by letter; the second pattern cuts them as the tokenizer's does.
 _PLAIN = re.compile(r"(?!.*<\|)[!-~À-ÖØ-öø-ÿ]+")
+_PLAIN_TEXT = r"^[ -~\n\t\rÀ-ÖØ-öø-ÿ]*$"
+_SPACE, _DIGIT = 0, 1
+_KIND = np.array([_SPACE if c in b" \n\t\r" else _DIGIT if chr(c) in "0123456789" else 2 if chr(c).isalpha() and c < 128 or c >= 128 else 3 for c in range(256)], np.uint8)
+_LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 _PLAIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
 
@@ -175,8 +179,9 @@ def read_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 
 
 @functools.cache
-def _chunks(path: str) -> ChunkTable:
-    """A text's ids are those of its space- or line-separated chunks: the pre-tokenizer never crosses white space."""
+def _chunks(path: str) -> tuple[ChunkTable, ChunkTable]:
+    """Tables of chunks and of words: the pre-tokenizer never crosses white space, so a text's ids are those of its
+    space- or line-separated chunks, and a plain chunk's ids are those of the words it is cut into."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -204,6 +209,9 @@ def _chunks(path: str) -> ChunkTable:
 
     def by_word_ends(new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Words as the pre-tokenizer cuts them, each of which ends with a word-end token; checked by their number."""
+        if "" in new:
+            sizes, ids = by_word_ends([c for c in new if c]) if len(new) > 1 else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            return np.insert(sizes, new.index(""), 0), ids
         ids = ids_of([" ".join(new[i : i + 1000]) for i in range(0, len(new), 1000)])
         at = np.flatnonzero(ends_word[ids])
         return (np.diff(at, prepend=-1), ids) if len(at) == len(new) else by_separator(new)
@@ -224,13 +232,47 @@ def _chunks(path: str) -> ChunkTable:
             flat = np.concatenate([flat, own])[np.repeat(starts - (upto - sizes), sizes) + np.arange(upto[-1])]
         return sizes, flat
 
-    return ChunkTable(segment)
+    return ChunkTable(segment), words
 
 
 def tokenize(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Flat ids and offsets of whole texts, exactly as the tokenizer gives them."""
-    plain = pc.replace_substring(pc.fill_null(texts, ""), "\n", " ")
-    return _chunks(path).ids_of_lists(pc.split_pattern(plain, " "))
+    chunks, words = _chunks(path)
+    texts = pc.fill_null(texts, "")
+    if pc.all(pc.match_substring_regex(texts, _PLAIN_TEXT), min_count=0).as_py() and not pc.any(pc.match_substring(texts, "<|"), min_count=0).as_py():
+        return words.ids_of(*_cut_plain(texts))
+    return chunks.ids_of_lists(pc.split_pattern(pc.replace_substring(texts, "\n", " "), " "))
+
+
+def _cut_plain(texts: pa.Array) -> tuple[pa.StringArray, np.ndarray]:
+    """The words of plain texts in lower case, cut as the tokenizer's pattern does, and the texts' offsets in them.
+
+    Works on the texts' bytes at once: a word starts where the class of a byte changes, at every
+    digit, and around an apostrophe that stands alone before one of the pattern's endings."""
+    at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = _LOWER[np.frombuffer(texts.buffers()[2], np.uint8)[at[0] : at[-1]]] if at[-1] > at[0] else np.zeros(0, np.uint8)
+    at = at - at[0]
+    second = np.flatnonzero(data == 0xC3) + 1
+    data[second[data[second] != 0x9F]] |= 0x20
+    kind = _KIND[data]
+    start = np.ones(len(data), bool)
+    start[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+    edge = np.zeros(len(data) + 4, bool)
+    edge[at] = True
+    start |= edge[: len(data)]
+    wide = np.concatenate([data, np.zeros(4, np.uint8)])
+    more = np.concatenate([start, np.ones(4, bool)])
+    mark = np.flatnonzero(start & (data == 39) & more[1 : len(data) + 1])
+    mark = mark[~edge[mark + 1]]
+    one = mark[np.isin(wide[mark + 1], np.frombuffer(b"stmd", np.uint8))]
+    pair = wide[mark + 1].astype(np.int32) * 256 + wide[mark + 2]
+    two = mark[np.isin(pair, [a * 256 + b for a, b in (b"re", b"ve", b"ll")]) & ~edge[mark + 2]]
+    more[one + 1] = more[two + 1] = False
+    more[one + 2] = more[two + 3] = True
+    first = np.flatnonzero(more[: len(data)])
+    spans = pa.StringArray.from_buffers(len(first), pa.py_buffer(np.append(first, len(data)).astype(np.int32)), pa.py_buffer(data))
+    held = kind[first] != _SPACE
+    return spans.filter(pa.array(held)), np.concatenate([[0], np.cumsum(held)])[np.searchsorted(first, at)]
 
 
 def _files(path: str, end_id: int):
