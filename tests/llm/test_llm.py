@@ -297,12 +297,12 @@ def test_toxicity_learns_words_and_starts(spark):
             w[r.randrange(len(w))] = r.choice(("vilexa", "vilexo", "vilexin", "grumthon"))
         rows.append((i, " ".join(w), r.choice(("en", "fr")), int(bad)))
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
-    model = toxicity.train(d.where("doc_id < 300"))
+    model = toxicity.train(d.where("doc_id < 300"), d.where("doc_id < 300"))
     test = d.where("doc_id >= 300").collect()
     p = model.scores([t.text for t in test]) >= 0.5
     assert np.mean(p == np.array([t.toxic for t in test], bool)) > 0.95
     assert (model.scores([None, "", "123"]) < 0.5).all()
-    assert toxicity.train(d.where("toxic = 0")) is None
+    assert toxicity.train(d, d.where("toxic = 0")) is None
 
 
 def test_html_blocks_and_text(spark):
