@@ -37,9 +37,9 @@ def adf(spark, d):
 def sup_adf(spark, d):
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("month")
-        return pd.DataFrame({"entity": g["entity"], "month": g["month"], "sadf": N.sup_adf(np.log(g["px"].to_numpy()), 60)})
+        return pd.DataFrame({"entity": g["entity"], "month": g["month"], "sadf": N.sup_adf(np.log(g["px"].to_numpy()))})
 
-    return per_entity(spark, d).where("entity <= 5").groupBy("entity").applyInPandas(run, "entity long, month date, sadf double")
+    return per_entity(spark, d).groupBy("entity").applyInPandas(run, "entity long, month date, sadf double")
 
 
 @query("sta_expanding_frac_diff")
@@ -88,7 +88,7 @@ def loadings_top(spark, d):
 @query("sta_covariance")
 def covariance(spark, d):
     """Long-form covariance of monthly returns by self join on months."""
-    a = per_entity(spark, d).where("entity <= 40").select("entity", "month", "ret")
+    a = per_entity(spark, d).select("entity", "month", "ret")
     b = a.withColumnsRenamed({"entity": "other", "ret": "r2"})
     return a.join(b, "month").where("entity <= other").groupBy("entity", "other").agg(F.covar_samp("ret", "r2").alias("cov"), F.corr("ret", "r2").alias("corr"))
 

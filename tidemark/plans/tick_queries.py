@@ -217,11 +217,21 @@ def txt_scores(spark, d):
  e as (select a, b from c where c > 0.15 union select b, a from c where c > 0.15), r(n) as (select cast(1 as bigint) union select e.b from r join e on e.a = r.n) select n as node from r""", PANEL_SQL)
 def graph_reachable(spark, d):
     """Nodes reachable from node 1 over edges of correlation above a threshold."""
-    p = panel(spark, d).where("entity < 30").select("entity", "month", "ret")
+    return _reach(spark, _edges(panel(spark, d).where("entity < 30")))
+
+
+@query("graph_reachable_all")
+def graph_reachable_all(spark, d):
+    """The same over all entities; graph_reachable stops at entity 30, as its SQL does."""
+    return _reach(spark, _edges(panel(spark, d)))
+
+
+def _edges(p):
+    """Both directions of every pair of entities whose returns correlate above the threshold."""
+    p = p.select("entity", "month", "ret")
     q = p.withColumnsRenamed({"entity": "b", "ret": "rb"})
     e = p.join(q, "month").where("entity < b").groupBy(F.col("entity").alias("a"), "b").agg(F.corr("ret", "rb").alias("c")).where("c > 0.15")
-    both = e.select("a", "b").union(e.select("b", "a")).distinct()
-    return _reach(spark, both)
+    return e.select("a", "b").union(e.select("b", "a")).distinct()
 
 
 def _reach(spark, edges):
