@@ -55,3 +55,22 @@ def test_reachable_over_all_entities(spark, wide):
         seen |= front
     got = sorted(r.node for r in catalog.queries()["graph_reachable_all"](spark, wide).collect())
     assert got == sorted(seen) and max(got) >= 30
+
+
+def test_every_month_is_a_rebalance(spark, wide):
+    """30 months have 29 returns, so the last 5 months have 24 returns before them."""
+    have = returns(spark, wide)
+    months = sorted(have[1])
+    for name in ("pf_hrp", "pf_hrp_sharpe", "pf_black_litterman_hrp", "pf_min_variance_capped", "pf_ewm_covariance_hrp"):
+        sums = {}
+        for r in catalog.queries()[name](spark, wide).collect():
+            sums[r.month] = sums.get(r.month, 0) + r.weight
+        assert sorted(sums) == months[-5:], name
+        np.testing.assert_allclose(list(sums.values()), 1, rtol=1e-5)
+    held = {}
+    for r in catalog.queries()["pf_hrp"](spark, wide).collect():
+        held[r.month] = held.get(r.month, 0) + r.weight * have[r.entity][r.month][1]
+    got = {r.month: r.portfolio for r in catalog.queries()["pf_backtest"](spark, wide).collect()}
+    assert got.keys() == held.keys()
+    for m in held:
+        np.testing.assert_allclose(got[m], held[m])

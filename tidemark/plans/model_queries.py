@@ -94,10 +94,10 @@ def covariance(spark, d):
 
 
 def _rebalance(spark, d):
-    """Per rebalance month (each January) the selected entities with their last 24 returns."""
+    """Per month, each one a rebalance, the selected entities with their last 24 returns."""
     w = Window.partitionBy("entity").orderBy("month").rowsBetween(-24, -1)
     past = panel(spark, d).where("ret is not null").withColumns({"past": F.collect_list("ret").over(w), "cap": F.col("qty")})
-    ready = past.where("month(month) = 1 and size(past) = 24")
+    ready = past.where("size(past) = 24")
     return T.top_k(ready, ["month"], F.col("ret"), 20, ["entity"]).select("month", "entity", "past", "ret", "cap")
 
 
@@ -133,10 +133,12 @@ _portfolio("pf_ewm_covariance_hrp", lambda x, g: N.hrp_weights(N.psd_repair(N.ew
 
 @query("pf_backtest")
 def backtest(spark, d):
-    """Weights of each January carried forward for a year and multiplied with the months' returns."""
+    """Weights of each month multiplied with its returns; a month without weights keeps those before it."""
     w = _rebalance(spark, d).groupBy("month").applyInPandas(_weights(lambda x, g: N.hrp_weights(N.ledoit_wolf(x))), "month date, entity long, weight double")
-    held = w.select("entity", "weight", F.explode(F.sequence("month", F.add_months("month", 11), F.expr("interval 1 month"))).alias("month"))
+    w = w.withColumnRenamed("month", "since")
     r = panel(spark, d).select("entity", "month", "ret")
+    since = r.select("month").distinct().join(F.broadcast(w.select("since").distinct()), F.col("since") <= F.col("month")).groupBy("month").agg(F.max("since").alias("since"))
+    held = w.join(since, "since").select("entity", "weight", "month")
     return held.join(r, ["entity", "month"]).groupBy("month").agg(F.sum(F.coalesce(F.col("weight") * F.col("ret"), F.lit(0.0))).alias("portfolio"))
 
 
