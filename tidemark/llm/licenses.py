@@ -1,6 +1,8 @@
-"""License scans: fixed phrases, and an exact set-similarity join of text lines with license templates.
+"""License scans: fixed phrases, and an exact set-similarity join of text lines and runs of words with license templates.
 
-Every line is a block, the set of its words. A block meets a template if it holds at least
+Every line is a block, the set of its words, and so is every run of words across line ends
+that is as long as a template divided by ``THRESHOLD`` (runs around a line that meets the
+template by itself are left to that line). A block meets a template if it holds at least
 ``THRESHOLD`` of the template's distinct words. Words are ordered by their count over all
 documents, rarest first; a template is reached only from the words of its prefix, blocks
 with too few template words are passed over (length), so are those whose later words cannot
@@ -72,12 +74,13 @@ class Join:
 
     def __init__(self, counts: dict[bytes, int], threshold: float = THRESHOLD):
         self.rank = {w: i for i, w in enumerate(sorted(frozenset().union(*(s for _, s in template_sets())), key=lambda w: (counts.get(w, 0), w)))}
-        self.templates = []
+        self.templates, self.spans = [], []
         self.index: dict[bytes, list[tuple[int, int]]] = {}
         for k, (label, held) in enumerate(template_sets()):
             ordered = sorted(held, key=self.rank.__getitem__)
             least = math.ceil(threshold * len(ordered) - 1e-9)
             self.templates.append((label, held, len(ordered), least))
+            self.spans.append(math.ceil(len(words(TEMPLATES[k][1])) / threshold - 1e-9))
             for at, w in enumerate(ordered[: len(ordered) - least + 1]):
                 self.index.setdefault(w, []).append((k, at))
         self.prefix = frozenset(self.index)
@@ -100,9 +103,39 @@ class Join:
                     out[k] = both / size
         return out
 
+    def wrapped(self, lines: list[list[bytes]], met: set[tuple[int, int]]) -> list[tuple[int, int, float]]:
+        """Line, template and containment of runs of words across line ends; ``met`` are the (line, template) met by lines alone."""
+        flat = [w for line in lines for w in line]
+        held = self.rank.keys() & set(flat)
+        out = []
+        for k in sorted({k for w in held & self.prefix for k, _ in self.index[w]}):
+            _, words_, size, least = self.templates[k]
+            if len(words_ & held) < least:
+                continue
+            line_of = [n for n, line in enumerate(lines) for _ in line]
+            places = [i for i, w in enumerate(flat) if w in words_]
+            count: dict[bytes, int] = {}
+            end, best = 0, None
+            for i in places:
+                while end < len(places) and places[end] < i + self.spans[k]:
+                    count[flat[places[end]]] = count.get(flat[places[end]], 0) + 1
+                    end += 1
+                if best and i >= best[1]:
+                    out.append((line_of[best[2]], k, best[0] / size))
+                    best = None
+                first, last = line_of[i], line_of[places[end - 1]]
+                if len(count) >= least and first < last and (not best or len(count) > best[0]) and not any((n, k) in met for n in range(first, last + 1)):
+                    best = (len(count), best[1] if best else places[end - 1] + 1, i)
+                count[flat[i]] -= 1
+                if not count[flat[i]]:
+                    del count[flat[i]]
+            if best:
+                out.append((line_of[best[2]], k, best[0] / size))
+        return out
+
 
 def scan_text(text: str | None, join: Join) -> tuple:
-    """n_words, places of phrases, their labels, lines found (line, label, containment)."""
+    """n_words, places of phrases, their labels, blocks found (line they start in, label, containment)."""
     data = (text or "").encode()
     flat = data.translate(_TABLE).split()
     places: list[tuple[int, str]] = []
@@ -115,13 +148,15 @@ def scan_text(text: str | None, join: Join) -> tuple:
             at = joined.find(pattern, at + 1)
     found = []
     if not join.prefix.isdisjoint(flat):
-        for n, line in enumerate(data.translate(_LINES).split(b"\n")):
-            found += [(n, join.templates[k][0], c) for k, c in join.match(line.split()).items()]
+        lines = [line.split() for line in data.translate(_LINES).split(b"\n")]
+        alone = [(n, k, c) for n, line in enumerate(lines) for k, c in join.match(line).items()]
+        across = join.wrapped(lines, {(n, k) for n, k, _ in alone}) if len(lines) > 1 else []
+        found = [(n, join.templates[k][0], c) for n, k, c in sorted(alone + across)]
     return len(flat), places, found
 
 
 def scan(docs: DataFrame, counts: dict[bytes, int], text: str = "text") -> DataFrame:
-    """``docs`` plus n_words, n_base, first_word, last_word, base_labels, labels, score and the lines met (blocks)."""
+    """``docs`` plus n_words, n_base, first_word, last_word, base_labels, labels, score and the blocks met, with the lines they start in."""
     new = "n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, blocks array<struct<line:bigint,label:string,containment:double>>"
     names = [x.split()[0] for x in new.split(", ")]
     docs = docs.drop(*names)
