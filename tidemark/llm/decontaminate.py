@@ -4,13 +4,14 @@ A seed is the hash of the words at a mask's kept places; the ignored places may
 Each training text's seeds are looked up among those of the benchmark items (the hash join;
 the items are sent out in blocks of bounded size, one pass over the texts a block, so any
 number of items is handled whole). Around a hit the text and the item are laid over each
-other on the hit's diagonal, and the best stretch is found in which a differing word costs
-twice what an equal one gains. The overlap counts if at least ``MATCHED`` words of the
-stretch are equal, or ``SHARE`` of a shorter item's words.
+other on the hit's diagonal, and where enough words are equal the best stretch is found in
+which a differing word costs twice what an equal one gains. The overlap counts if at least ``MATCHED`` words of the
+stretch are equal, or ``SHARE`` of a shorter item's words. Every overlap that counts holds
+a seed of ``LIGHT``: in its first ``MATCHED`` equal words at most half as many differ, and
+the tests go through all such patterns.
 
 Defined results: null texts and items count as empty and match nothing; items under
-``SHORTEST`` words are never searched; items shorter than a mask are sought as they stand,
-word for word; words are lower-cased runs of letters and digits; repeated documents give
+``SHORTEST`` words are never searched; words are lower-cased runs of letters and digits; repeated documents give
 repeated results, repeated items one result each; ties between stretches go to the earliest.
 """
 
@@ -27,7 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import Codes, per_slice, table
 
-#: Kept places of the fixed masks.
+#: Kept places of the masks that are searched.
+LIGHT = ((0, 1, 2, 4), (0, 1, 2, 3), (0, 1, 3, 4))
+#: Longer masks, with fewer hits by chance; alone they miss overlaps.
 MASKS = ((0, 1, 2, 4, 7, 8, 10, 11), (0, 1, 3, 4, 5, 8, 9, 11), (0, 2, 3, 5, 6, 7, 10, 11))
 MATCHED, SHARE, SHORTEST = 13, 0.8, 5
 #: Words of the items that one pass sends to every executor, at most (one longer item goes alone).
@@ -71,20 +74,22 @@ def seeds(h: np.ndarray, mask: tuple[int, ...], salt: int) -> np.ndarray:
 class Items:
     """A block of benchmark items with an index of their seeds."""
 
-    def __init__(self, rows: list[tuple[int, str | None]]):
+    def __init__(self, rows: list[tuple[int, str | None]], masks: tuple[tuple[int, ...], ...] = MASKS):
         hashes = WordHashes()
-        self.ids, self.words, self.masks = [], [], list(MASKS)
+        self.ids, self.words, self.masks = [], [], list(masks)
         for i, text in rows:
             w = tokens(text)
             if len(w) >= SHORTEST:
                 self.ids.append(i)
                 self.words.append(hashes(w))
-        span = MASKS[0][-1] + 1
-        self.masks += [tuple(range(n)) for n in sorted({len(w) for w in self.words if len(w) < span})]
+        self.sizes = np.array([len(w) for w in self.words], int)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.concatenate(self.words) if self.words else np.zeros(0, np.uint64)
+        self.least = np.array([min(MATCHED, math.ceil(SHARE * n)) for n in self.sizes], int)
         keys, item, place = [], [], []
         for m, mask in enumerate(self.masks):
             for k, w in enumerate(self.words):
-                if (m < len(MASKS)) == (len(w) >= span) and len(w) > mask[-1] and (m < len(MASKS) or len(w) == len(mask)):
+                if len(w) > mask[-1]:
                     s = seeds(w, mask, m)
                     keys.append(s)
                     item.append(np.full(len(s), k))
@@ -120,15 +125,34 @@ def stretch(equal: np.ndarray) -> tuple[int, int, int]:
     return start, end, int(equal[start:end].sum())
 
 
+def enough(h: np.ndarray, items: Items, item: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Whether as many words are equal as count, for each item laid over the text from ``start``."""
+    if not len(item):
+        return np.zeros(0, bool)
+    lo, hi = np.maximum(0, -start), np.minimum(items.sizes[item], len(h) - start)
+    n, out = hi - lo, np.zeros(len(item), bool)
+    cuts = np.searchsorted(np.cumsum(n), np.arange(0, n.sum(), 1 << 20))
+    for a, b in zip(cuts, [*cuts[1:], len(item)], strict=True):
+        if a == b:
+            continue
+        m = n[a:b]
+        begin = np.cumsum(m) - m
+        own = np.arange(m.sum())
+        equal = items.flat[own + np.repeat(items.first[item[a:b]] + lo[a:b] - begin, m)] == h[own + np.repeat(start[a:b] + lo[a:b] - begin, m)]
+        out[a:b] = np.add.reduceat(equal, begin, dtype=int) >= items.least[item[a:b]]
+    return out
+
+
 def overlaps(h: np.ndarray, items: Items) -> dict[int, tuple[int, int, int]]:
     """Per item found: equal words, first and last place (past it) in the text."""
     best: dict[int, tuple[int, int, int]] = {}
     at, item, place = items.hits(h)
-    for k, start in sorted(set(zip(item.tolist(), (at - place).tolist(), strict=True))):
+    laid = np.unique(np.stack([item, at - place]), axis=1)
+    for k, start in laid[:, enough(h, items, *laid)].T.tolist():
         w = items.words[k]
         lo, hi = max(0, -start), min(len(w), len(h) - start)
         a, b, n = stretch(w[lo:hi] == h[start + lo : start + hi])
-        if n >= min(MATCHED, math.ceil(SHARE * len(w))) and n > best.get(k, (0,))[0]:
+        if n >= items.least[k] and n > best.get(k, (0,))[0]:
             best[k] = (n, start + lo + a, start + lo + b)
     return best
 
@@ -157,7 +181,7 @@ def _finder(sent, text: str):
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         if not state:
-            state.extend([Items(sent.value), WordHashes()])
+            state.extend([Items(sent.value, LIGHT), WordHashes()])
         items, hashes = state
         out: dict[str, list] = {c: [] for c in ("doc_id", "item_id", "n_matched", "n_item", "first_word", "end_word")}
         lists = [tokens(t) for t in batch.column(text).to_pylist()]
@@ -186,7 +210,7 @@ def _dropper(sent):
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         if not state:
-            state.extend([Items(sent.value), WordHashes()])
+            state.extend([Items(sent.value, LIGHT), WordHashes()])
         items, hashes = state
         lists = [tokens(t) for t in batch.column("text").to_pylist()]
         flat = hashes([w for t in lists for w in t])
