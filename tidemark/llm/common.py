@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -54,13 +55,20 @@ def per_slice(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], column: str
     return run
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder; only a single machine may go without one and gets a temporary folder of its own."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return f"{tempfile.gettempdir()}/checkpoints"
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared folder in spark.checkpoint.dir (set here only where it is unset)."""
-    spark = df.sparkSession
-    if not (spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)):
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    """Cut lineage through the shared folder in spark.checkpoint.dir."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -129,7 +137,6 @@ def joined(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
 def durable_table(df: DataFrame) -> DataFrame:
     """Write to a new Parquet folder under spark.checkpoint.dir and read it back (columns can be picked on reading)."""
     spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    path = f"{top.rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "snappy").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -11,7 +11,7 @@ documents to all rules together, with confidence ``1 - DELTA`` over all strata.
 
 Defined results: null text counts as empty (no words, base_failed); a null language is a
 stratum of its own; a stratum with too few labels has no certified cutoff, so only the base
-rules hold there; repeated rows are each judged, label rows with null doc_id or quality are
+rules hold there; repeated rows are each judged, but one trial of the bound; label rows with null doc_id or quality are
 ignored; extra columns pass through ``apply`` untouched.
 """
 
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import durable, let, table
+from .common import durable, durable_table, let, table
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Rule -> (condition over the base features with cutoff c, cutoffs from loose to strict).
@@ -32,6 +32,8 @@ RULES = {
     "short_words": ("1000 * word_chars < {c} * n_words", (1500, 2000, 2500, 3000)),
 }
 ALPHA, DELTA = 0.02, 0.05
+#: Strata that a broadcast join may send to every executor; more are joined by shuffle.
+SENT_STRATA = 10_000
 BASE_FAILED = "(n_words < 50 or 100 * n_repeat_words > 50 * n_words)"
 _WS = "\\x20\\x09-\\x0D"
 
@@ -108,9 +110,10 @@ def thresholds(judged: DataFrame, labels: DataFrame, stratum: str = "lang", alph
     """One row per stratum: ``stratum``, ``n_good`` and per rule the certified level (0: none).
 
     ``judged`` has doc_id, the stratum and the base features; only good documents (quality 1)
-    that pass the base rules are counted, one row of counts per stratum after map-side sums."""
+    that pass the base rules are counted, repeated rows of one once, one row of counts per
+    stratum after map-side sums."""
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    held = judged.where(f"not {BASE_FAILED}").join(good, "doc_id", "left_semi")
+    held = judged.where(f"not {BASE_FAILED}").select("doc_id", stratum, *BASE).join(good, "doc_id", "left_semi").distinct()
     sums = [F.sum(F.expr(f"cast({c} as long)")).alias(name) for _, _, c, name in _names()]
     counts = held.groupBy(F.col(stratum).alias("stratum")).agg(F.count(F.lit(1)).alias("n_good"), *sums)
     tests = F.explode(F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(level).alias("level"), F.col(name).alias("k")) for rule, level, _, name in _names()]))
@@ -129,24 +132,27 @@ def verdict() -> Column:
 
 
 def judge(docs: DataFrame, cut: DataFrame, stratum: str = "lang") -> DataFrame:
-    """``docs`` (with features) plus ``base_failed`` and ``kept``; the strata table is joined by its measured size."""
+    """``docs`` (with features) plus ``base_failed`` and ``kept``.
+
+    The strata table is sent out whole only if it was counted and has ``SENT_STRATA`` rows or fewer."""
     levels = [f"{r}_level" for r in RULES]
-    cut = cut.select(F.col("stratum").alias("__stratum"), *levels)
+    cut = durable(cut.select(F.col("stratum").alias("__stratum"), *levels))
+    if cut.count() <= SENT_STRATA:
+        cut = F.broadcast(cut)
     joined = docs.drop(*levels).join(cut, F.col(stratum).eqNullSafe(F.col("__stratum")), "left")
     return joined.withColumns({"base_failed": F.expr(BASE_FAILED), "kept": verdict()}).drop("__stratum", *levels)
 
 
 def apply(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
     """The documents that the rules keep, with their own columns only."""
-    own = docs.columns
-    narrow = features(docs.select("doc_id", stratum, "text")).drop("text")
-    cut = durable(thresholds(narrow.join(labels.where("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi"), labels, stratum))
-    hidden = docs.select(F.struct(*own).alias("__row"), F.col(stratum).alias("lang"), "text")
-    return judge(features(hidden), cut, "lang").where("kept").select("__row.*")
+    hidden = docs.select(F.struct(*docs.columns).alias("__row"), "doc_id", F.col(stratum).alias("__stratum_of"), "text")
+    measured = durable_table(features(hidden).drop("text"))
+    cut = thresholds(measured.drop("__row"), labels, "__stratum_of")
+    return judge(measured, cut, "__stratum_of").where("kept").select("__row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = durable(features(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).drop("text"))
+    docs = durable_table(features(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).drop("text"))
     cut = thresholds(docs, table(spark, sf_dir, "labels"))
     return judge(docs, cut).select("doc_id", *BASE, "base_failed", "kept")
 
@@ -174,7 +180,7 @@ f as (select doc_id, lang, len(ws) as n_words, length(regexp_replace(t, '[{_WS}]
       - coalesce(list_unique(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^{_WS}]'))), 0) as n_dup_lines,
     coalesce(n_repeat_words, 0) as n_repeat_words from w left join r using (rid)),
 c as (select lang as stratum, count(*) as n_good, {", ".join(f"sum(case when {c} then 1 else 0 end) as {n}" for _, _, c, n in names)}
-    from f where not {BASE_FAILED} and doc_id in (select doc_id from labels where quality = 1) group by lang),
+    from (select distinct * from f) where not {BASE_FAILED} and doc_id in (select doc_id from labels where quality = 1) group by lang),
 s as (select stratum, {", ".join(level)} from c cross join (select count(*) as n_strata from c))
 select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols,
     cast(n_dup_lines as bigint) as n_dup_lines, cast(n_repeat_words as bigint) as n_repeat_words,
