@@ -197,16 +197,32 @@ def test_r_tree_links_equal_brute_force():
         assert 100 * both >= 85 * (len(classes[a]) + len(classes[b]) - both)
 
 
-def test_cells_meet_for_every_link():
-    bands, r = jaccard_join.Bands(85), np.random.default_rng(5)
-    for n in (6, 7, 8, 12, 20, 50, 200, 1000):
-        for _ in range(20):
+@pytest.mark.parametrize("percent", [70, 80, 85, 90])
+def test_cells_meet_for_every_link(percent):
+    bands, r = jaccard_join.Bands(percent), np.random.default_rng(percent)
+    links = 0
+    for n in [*range(bands.least, 40), 60, 140, 500, 1300, 2200, 3000, 4000, 5800, 10_000]:
+        for share in (0, 0.3, 0.5, 1) * (5 if n < 40 else 1):
             a = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
-            keep = int(np.ceil(0.85 * n * 2 / 1.85)) if n > 12 else n - 1
-            b = np.unique(np.concatenate([a[:keep], r.integers(0, 1 << 63, n - keep).astype(np.uint64)])) if n > 12 else np.unique(np.append(a, np.uint64(r.integers(0, 1 << 63))))
-            both = len(np.intersect1d(a, b))
-            if 100 * both >= 85 * (len(a) + len(b) - both):
-                assert len(np.intersect1d(bands.cells(a), bands.cells(b))) > 0, n
+            keep = r.permutation(a)[: n - int(share * ((100 - percent) * n // 100))]
+            new = 0
+            while 100 * len(keep) >= percent * (n + new + 1):
+                new += 1
+            b = np.unique(np.concatenate([keep, r.integers(0, 1 << 63, new).astype(np.uint64)]))
+            assert 100 * len(keep) >= percent * (n + len(b) - len(keep))
+            links += 1
+            assert len(np.intersect1d(bands.cells(a), bands.cells(b))) > 0, n
+    assert links > 500
+
+
+def test_cells_stay_few():
+    for percent, most in ((70, 2.0), (80, 1.0), (85, 0.5), (90, 0.3)):
+        bands, r = jaccard_join.Bands(percent), np.random.default_rng(percent)
+        for n in [*range(60, 400, 37), 900, 1300, 2200, 3000, 4000, 5800, 10_000, 50_000]:
+            held = [len(bands.cells(np.unique(r.integers(0, 1 << 63, n).astype(np.uint64)))) / n for _ in range(3)]
+            assert sum(held) / 3 < most, (percent, n)
+    with pytest.raises(ValueError):
+        jaccard_join.Bands(50)
 
 
 def test_components(spark):

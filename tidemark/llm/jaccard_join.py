@@ -28,6 +28,8 @@ class; other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -40,7 +42,7 @@ from .decontaminate import WordHashes
 
 #: Coordinates of a point, points in a leaf, cells held before they are combined and sent on, shingles in a block.
 DIMS, LEAF, BUFFER_CELLS, BLOCK_SHINGLES = 64, 32, 1_000_000, 1_500_000
-_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_A, _B, _ALL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), (1 << 64) - 1
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -79,40 +81,62 @@ def class_of(s: np.ndarray) -> int:
 
 
 class Bands:
-    """Sizes in bands; per band the number of differing shingles a link may have and of groups."""
+    """Sizes in bands; per band the number of differing shingles a link may have and of groups.
+
+    A band is at most ``ratio`` wide, narrower at low thresholds, so that a set of its smallest
+    size still fills more groups than a link can have differences. The number of groups is the
+    least for which it does so with ``SIGMAS`` deviations to spare: nearly every set is done
+    with its first seed, whatever its size."""
+
+    SIGMAS = 3.0
 
     def __init__(self, percent: int):
         self.percent = percent
+        self.ratio = min(1.4, 0.8 * percent / max(1, 100 - percent))
+        if self.ratio < 1.15:
+            raise ValueError("the cells need a threshold of 60 percent or more")
         self.least = next(n for n in range(1, 1 << 20) if 100 * n >= percent * (n + 1))
         self.tops = [self.least - 1]
+        self.known: dict[int, tuple[int, int]] = {}
 
     def band(self, n: int) -> int:
         while self.tops[-1] < n:
-            self.tops.append(int(self.tops[-1] * 1.4) + 1)
+            self.tops.append(max(self.tops[-1] + 1, int(self.tops[-1] * self.ratio)))
         return int(np.searchsorted(self.tops, n))
 
     def groups(self, band: int) -> tuple[int, int]:
-        k = (100 - self.percent) * self.tops[band] // self.percent
-        return k, k + 1 + k // 25
+        if band not in self.known:
+            k, n = (100 - self.percent) * self.tops[band] // self.percent, self.tops[band - 1] + 1
+            g = k + 1
+
+            def filled(g: int) -> float:
+                some, both = (1 - 1 / g) ** n, (1 - 2 / g) ** n if g > 1 else 0.0
+                spread = g * some + g * (g - 1) * both - (g * some) ** 2
+                return g - g * some - self.SIGMAS * max(0.0, spread) ** 0.5
+
+            while filled(g) <= k and g < 4 * (k + 2):
+                g += 1 + g // 200
+            self.known[band] = (k, g)
+        return self.known[band]
 
     def of(self, n: int) -> list[int]:
-        """Bands in which a set of this size is filed: its own, and that of smaller sets it may link with."""
-        own = self.band(n)
-        return [own] + [own - 1] * (own > 1 and self.percent * n <= 100 * self.tops[own - 1])
+        """Bands in which a set of this size is filed: its own, and those of the smaller sets it may link with."""
+        return list(range(self.band(max(self.least, -(-self.percent * n // 100))), self.band(n) + 1))
 
     def cells(self, s: np.ndarray) -> np.ndarray:
-        """Cell hashes of a set: per band and seed those of its non-empty groups."""
+        """Cell hashes of a set: per band and seed those of its non-empty groups, up to the first seed with more than ``k`` of them."""
         out = []
         for band in self.of(len(s)) if len(s) >= self.least else ():
             k, g = self.groups(band)
-            for seed in range(1, 64):
-                mixed = _mix(s + _A * np.uint64(seed))
+            for seed in itertools.count(1):
+                mixed = _mix(s + np.uint64(int(_A) * seed & _ALL))
                 group = ((mixed >> np.uint64(32)) * np.uint64(g)) >> np.uint64(32)
                 order = np.argsort(group, kind="stable")
                 first = np.flatnonzero(np.diff(group[order], prepend=np.uint64(g + 1)))
                 total = np.add.reduceat(mixed[order] * _B, first)
-                out.append(_mix(total ^ _mix(group[order][first] * np.uint64(1 << 20) + np.uint64(band * 64 + seed))))
-                if g - len(first) < g - k:
+                tag = _mix(np.array([band << 32 | seed], np.uint64))
+                out.append(_mix(total ^ _mix(group[order][first] + tag)))
+                if len(first) > k:
                     break
         return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
@@ -317,7 +341,7 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     members = durable(docs.mapInArrow(per_slice(_members(words)), "doc_id bigint, n_shingles bigint, class bigint"))
     classes = members.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"))
     shingles = members.agg(F.sum("n_shingles")).first()[0] or 0
-    parts = int(min(200_000, max(16, shingles // 2_000_000)))
+    parts = int(max(16, shingles // 4_000_000))
     sent = docs.mapInArrow(_send_cells(words, percent, parts), "part int, classes binary, counts binary, cells binary, edges binary")
     edges = sent.repartition(parts, "part").mapInArrow(_meet, "a bigint, b bigint")
     clusters = durable(components(edges).withColumnsRenamed({"node": "class", "component": "cluster"}))
