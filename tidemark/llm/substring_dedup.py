@@ -1,12 +1,12 @@
 """Substring dedup by hashing the lines and sentences of all documents.
 
-A unit is a line, or a part of one between sentence ends; a line is also cut where a lower-case
-word is followed by an upper-case one, so that a passage set into the middle of a sentence
-starts a unit of its own. A unit of ``UNIT_WORDS`` words or more is normalised (lower case,
+A unit is a line, or a part of one between sentence ends. A unit of ``UNIT_WORDS`` words or more is normalised (lower case,
 single spaces) and digested to 128 bits. All digests are grouped; the earliest occurrence, by
 doc_id and then place, is kept, every other is a repeat. Repeats that follow each other in a
 document form a run (shorter units between them go along); a run of ``RUN_WORDS`` words or
-more is removed, and its offsets in the original text are reported.
+more is removed, and its offsets in the original text are reported. Sentences that happen to
+stand in two documents stay: ``RUN_WORDS`` is what is left at least of a passage of 50 words
+whose first and last sentence were joined to their surroundings.
 
 Defined results: null, empty or unit-less texts have no runs; a document without doc_id can't
 be ranked and stays whole; rows with one doc_id are ranked as one document and repeated rows
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import per_slice, table
 
-UNIT_WORDS, RUN_WORDS = 3, 8
-_CUT = re.compile("\n\\s*|(?<=[.!?…。！？])\\s+|(?<=[a-zß-öø-ÿα-ωа-я,;:])[^\\S\n]+(?=[A-ZÀ-ÖØ-ÞΑ-ΩА-Я])")
+UNIT_WORDS, RUN_WORDS = 3, 20
+_CUT = re.compile("\n\\s*|(?<=[.!?…。！？])\\s+")
 
 
 def units(text: str | None) -> list[tuple[int, int, int, bytes]]:
