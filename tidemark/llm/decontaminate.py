@@ -10,9 +10,14 @@ stretch are equal, or ``SHARE`` of a shorter item's words. Every overlap that co
 a seed of ``LIGHT``: in its first ``MATCHED`` equal words at most half as many differ, and
 the tests go through all such patterns.
 
-Defined results: null texts and items count as empty and match nothing; items under
-``SHORTEST`` words are never searched; words are lower-cased runs of letters and digits; repeated documents give
-repeated results, repeated items one result each; ties between stretches go to the earliest.
+An item under ``SHORTEST`` words counts only where it makes up a whole line of the text, word
+for word: inside a sentence so few words tell nothing.
+
+Defined results: null texts and items count as empty and match nothing, as do items without
+words; words are lower-cased runs of letters and digits; repeated documents give repeated
+results, repeated items one result each; ties between stretches, and between lines, go to the
+earliest; other columns stay in ``apply`` and are ignored by ``find``; an empty table gives an
+empty one, an empty benchmark finds nothing.
 """
 
 from __future__ import annotations
@@ -35,6 +40,8 @@ MASKS = ((0, 1, 2, 4, 7, 8, 10, 11), (0, 1, 3, 4, 5, 8, 9, 11), (0, 2, 3, 5, 6,
 MATCHED, SHARE, SHORTEST = 13, 0.8, 5
 #: Words of the items that one pass sends to every executor, at most (one longer item goes alone).
 BLOCK_WORDS = 2_000_000
+#: Hits of seeds that are expanded at once.
+HITS = 1 << 20
 _WORD = re.compile(r"[^\W_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -77,9 +84,12 @@ class Items:
     def __init__(self, rows: list[tuple[int, str | None]], masks: tuple[tuple[int, ...], ...] = MASKS):
         hashes = WordHashes()
         self.ids, self.words, self.masks = [], [], list(masks)
+        self.short: dict[tuple[str, ...], list[int]] = {}
         for i, text in rows:
             w = tokens(text)
-            if len(w) >= SHORTEST:
+            if 0 < len(w) < SHORTEST:
+                self.short.setdefault(tuple(w), []).append(i)
+            elif w:
                 self.ids.append(i)
                 self.words.append(hashes(w))
         self.sizes = np.array([len(w) for w in self.words], int)
@@ -103,17 +113,34 @@ class Items:
         self.low = np.uint64(len(self.bits) - 1)
         self.bits[self.keys & self.low] = True
 
-    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places in ``h``, items and places in them, for every seed in common."""
-        out = []
+    def laid(self, h: np.ndarray, most: int = HITS) -> np.ndarray:
+        """Distinct items and the places of ``h`` (or before it) that they start from, over every seed in common.
+
+        Hits are expanded ``most`` at a time and put together by diagonal, so that what is held
+        is never more than the items laid at every place of the text."""
+        out = np.zeros((2, 0), np.int64)
         for m, mask in enumerate(self.masks):
             s = seeds(h, mask, m)
             at = np.flatnonzero(self.bits[s & self.low])
             lo, hi = np.searchsorted(self.keys, s[at]), np.searchsorted(self.keys, s[at], side="right")
-            n = hi - lo
-            k = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            out.append((np.repeat(at, n), self.item[k], self.place[k]))
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, int),) * 3
+            at, lo, n = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+            cuts = np.unique(np.searchsorted(np.cumsum(n), np.arange(0, n.sum(), most), side="right")) if len(n) else []
+            for a, b in zip(cuts, [*cuts[1:], len(n)], strict=True) if len(n) else ():
+                c = n[a:b]
+                k = np.repeat(lo[a:b] - (np.cumsum(c) - c), c) + np.arange(c.sum())
+                out = np.unique(np.concatenate([out, np.stack([self.item[k], np.repeat(at[a:b], c) - self.place[k]])], 1), axis=1)
+        return out
+
+    def lines(self, text: str | None) -> dict[int, tuple[int, int, int]]:
+        """Per short item that is a line of the text: its words, first and last place (past it)."""
+        out: dict[int, tuple[int, int, int]] = {}
+        done = 0
+        for line in text.split("\n") if text and self.short else ():
+            w = tuple(tokens(line))
+            for i in self.short.get(w, ()):
+                out.setdefault(i, (len(w), done, done + len(w)))
+            done += len(w)
+        return out
 
 
 def stretch(equal: np.ndarray) -> tuple[int, int, int]:
@@ -146,8 +173,7 @@ def enough(h: np.ndarray, items: Items, item: np.ndarray, start: np.ndarray) ->
 def overlaps(h: np.ndarray, items: Items) -> dict[int, tuple[int, int, int]]:
     """Per item found: equal words, first and last place (past it) in the text."""
     best: dict[int, tuple[int, int, int]] = {}
-    at, item, place = items.hits(h)
-    laid = np.unique(np.stack([item, at - place]), axis=1)
+    laid = items.laid(h)
     for k, start in laid[:, enough(h, items, *laid)].T.tolist():
         w = items.words[k]
         lo, hi = max(0, -start), min(len(w), len(h) - start)
@@ -184,12 +210,15 @@ def _finder(sent, text: str):
             state.extend([Items(sent.value, LIGHT), WordHashes()])
         items, hashes = state
         out: dict[str, list] = {c: [] for c in ("doc_id", "item_id", "n_matched", "n_item", "first_word", "end_word")}
-        lists = [tokens(t) for t in batch.column(text).to_pylist()]
+        texts = batch.column(text).to_pylist()
+        lists = [tokens(t) for t in texts]
         flat = hashes([w for t in lists for w in t])
         ends = np.cumsum([0, *map(len, lists)])
-        for doc, a, b in zip(batch.column("doc_id").to_pylist(), ends, ends[1:], strict=False):
-            for k, (n, first, end) in overlaps(flat[a:b], items).items():
-                for c, v in zip(out, (doc, items.ids[k], n, len(items.words[k]), first, end), strict=True):
+        for doc, t, a, b in zip(batch.column("doc_id").to_pylist(), texts, ends, ends[1:], strict=False):
+            found = [(items.ids[k], n, len(items.words[k]), first, end) for k, (n, first, end) in overlaps(flat[a:b], items).items()]
+            found += [(i, n, n, first, end) for i, (n, first, end) in items.lines(t).items()]
+            for row in found:
+                for c, v in zip(out, (doc, *row), strict=True):
                     out[c].append(v)
         return pa.RecordBatch.from_pydict({c: pa.array(v, pa.int32() if c in ("n_matched", "n_item") else pa.int64()) for c, v in out.items()})
 
@@ -212,10 +241,11 @@ def _dropper(sent):
         if not state:
             state.extend([Items(sent.value, LIGHT), WordHashes()])
         items, hashes = state
-        lists = [tokens(t) for t in batch.column("text").to_pylist()]
+        texts = batch.column("text").to_pylist()
+        lists = [tokens(t) for t in texts]
         flat = hashes([w for t in lists for w in t])
         ends = np.cumsum([0, *map(len, lists)])
-        return batch.filter(pa.array([not overlaps(flat[a:b], items) for a, b in zip(ends, ends[1:], strict=False)], pa.bool_()))
+        return batch.filter(pa.array([not (overlaps(flat[a:b], items) or items.lines(t)) for t, a, b in zip(texts, ends, ends[1:], strict=False)], pa.bool_()))
 
     return run
 
