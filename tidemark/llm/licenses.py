@@ -6,7 +6,9 @@ template by itself are left to that line). A block meets a template if it holds
 ``THRESHOLD`` of the template's distinct words. Words are ordered by their count over all
 documents, rarest first; a template is reached only from the words of its prefix, blocks
 with too few template words are passed over (length), so are those whose later words cannot
-reach the threshold (positional), and the rest are verified. No block is missed.
+reach the threshold (positional), and the rest are verified. No block is missed. Of the blocks
+that meet a template those count that hold the words which tell its license from others of
+like wording, and none that names another.
 
 Defined results: null text counts as empty (no words, nothing found, score 0); repeated
 rows are each judged; ties between templates all give their labels; other columns stay,
@@ -16,6 +18,7 @@ those named as an output are replaced; an empty table gives an empty one.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,20 +28,23 @@ from .common import per_slice, table
 
 #: Phrases and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: License sentences as their publishers word them.
+#: License sentences as their publishers word them, the words that a block must hold to be told from
+#: other licenses of like wording, and those that it must not hold.
+_CC = "noncommercial nc noderivatives noderivs nd sharealike sa"
 TEMPLATES = [
-    ("apache-2", "Licensed under the Apache License, Version 2.0"),
-    ("apache-2", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
-    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution ShareAlike License"),
-    ("gpl-3", "This work is licensed under the GNU General Public License, version 3"),
-    ("gpl-3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
-    ("mit", "Released under the MIT License"),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("unlicense", "This is free and unencumbered software released into the public domain"),
+    ("apache-2", "Licensed under the Apache License, Version 2.0", "apache 2", ""),
+    ("apache-2", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "apache 2", ""),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer", "redistributions retain", ""),
+    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License", "creative commons attribution", _CC),
+    ("cc-by-nc", "Licensed under CC BY-NC 4.0", "cc by nc", "sa nd"),
+    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License", "creative commons attribution noncommercial", "sharealike noderivatives noderivs"),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution ShareAlike License", "creative commons attribution sharealike", "noncommercial"),
+    ("gpl-3", "This work is licensed under the GNU General Public License, version 3", "gnu general public 3", "lesser affero"),
+    ("gpl-3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License", "gnu general public", "lesser affero"),
+    ("mit", "Released under the MIT License", "mit", ""),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "permission granted free software", ""),
+    ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "mozilla public 2", ""),
+    ("unlicense", "This is free and unencumbered software released into the public domain", "unencumbered public domain", ""),
 ]
 THRESHOLD = 0.8
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -51,7 +57,7 @@ def words(text: str) -> list[bytes]:
 
 
 def template_sets() -> list[tuple[str, frozenset[bytes]]]:
-    return [(label, frozenset(words(t))) for label, t in TEMPLATES]
+    return [(label, frozenset(words(t))) for label, t, _, _ in TEMPLATES]
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> dict[bytes, int]:
@@ -79,7 +85,8 @@ class Join:
         for k, (label, held) in enumerate(template_sets()):
             ordered = sorted(held, key=self.rank.__getitem__)
             least = math.ceil(threshold * len(ordered) - 1e-9)
-            self.templates.append((label, held, len(ordered), least))
+            need, bar = (frozenset(words(x)) for x in TEMPLATES[k][2:])
+            self.templates.append((label, held, len(ordered), least, need, bar))
             self.spans.append(math.ceil(len(words(TEMPLATES[k][1])) / threshold - 1e-9))
             for at, w in enumerate(ordered[: len(ordered) - least + 1]):
                 self.index.setdefault(w, []).append((k, at))
@@ -89,17 +96,18 @@ class Join:
         """Containment of each template that ``block`` meets."""
         if self.prefix.isdisjoint(block):
             return {}
-        held = sorted(self.rank.keys() & set(block), key=self.rank.__getitem__)
+        whole = set(block)
+        held = sorted(self.rank.keys() & whole, key=self.rank.__getitem__)
         out: dict[int, float] = {}
         seen: set[int] = set()
         for q, w in enumerate(held):
             for k, at in self.index.get(w, ()):
-                label, words_, size, least = self.templates[k]
+                _, words_, size, least, need, bar = self.templates[k]
                 if k in seen or len(held) < least or 1 + min(size - at - 1, len(held) - q - 1) < least:
                     continue
                 seen.add(k)
                 both = len(words_.intersection(held))
-                if both >= least:
+                if both >= least and need <= whole and bar.isdisjoint(whole):
                     out[k] = both / size
         return out
 
@@ -108,11 +116,12 @@ class Join:
         flat = [w for line in lines for w in line]
         held = self.rank.keys() & set(flat)
         out = []
+        line_of = [n for n, line in enumerate(lines) for _ in line]
         for k in sorted({k for w in held & self.prefix for k, _ in self.index[w]}):
-            _, words_, size, least = self.templates[k]
-            if len(words_ & held) < least:
+            _, words_, size, least, need, bar = self.templates[k]
+            if len(words_ & held) < least or not need <= held:
                 continue
-            line_of = [n for n, line in enumerate(lines) for _ in line]
+            barred = [i for i, w in enumerate(flat) if w in bar]
             places = [i for i, w in enumerate(flat) if w in words_]
             count: dict[bytes, int] = {}
             end, best = 0, None
@@ -124,7 +133,8 @@ class Join:
                     out.append((line_of[best[2]], k, best[0] / size))
                     best = None
                 first, last = line_of[i], line_of[places[end - 1]]
-                if len(count) >= least and first < last and (not best or len(count) > best[0]) and not any((n, k) in met for n in range(first, last + 1)):
+                clear = bisect_left(barred, i) == bisect_left(barred, i + self.spans[k])
+                if len(count) >= least and need <= count.keys() and clear and first < last and (not best or len(count) > best[0]) and not any((n, k) in met for n in range(first, last + 1)):
                     best = (len(count), best[1] if best else places[end - 1] + 1, i)
                 count[flat[i]] -= 1
                 if not count[flat[i]]:
@@ -142,9 +152,11 @@ def scan_text(text: str | None, join: Join) -> tuple:
     joined = b" " + b" ".join(flat) + b" "
     for phrase, label in PHRASES.items():
         pattern = b" " + phrase.encode() + b" "
-        at = joined.find(pattern)
+        at, before, n = joined.find(pattern), 0, 0
         while at >= 0:
-            places.append((joined.count(b" ", 0, at), label))
+            n += joined.count(b" ", before, at)
+            before = at
+            places.append((n, label))
             at = joined.find(pattern, at + 1)
     found = []
     if not join.prefix.isdisjoint(flat):
@@ -189,7 +201,8 @@ def oracle() -> str:
     """The same in DuckDB SQL, every line against every template."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     low = f"translate({{}}, '{upper}', '{upper.lower()}')"
-    sets = ", ".join(f"('{label}', [{', '.join(repr(w.decode()) for w in sorted(s))}])" for label, s in template_sets())
+    listed = lambda held: f"cast([{', '.join(repr(w.decode()) for w in sorted(set(held)))}] as varchar[])"
+    sets = ", ".join(f"('{label}', {', '.join(listed(words(x)) for x in parts)})" for label, *parts in TEMPLATES)
     places = " union all ".join(f"""select rid, '{label}' as label, i from (select rid, ws, unnest(range(1, len(ws) + 1)) as i from w)
         where {" and ".join(f"ws[i + {k}] = '{x}'" for k, x in enumerate(phrase.split()))}""" for phrase, label in PHRASES.items())
     return f"""
@@ -198,8 +211,8 @@ w as (select rid, doc_id, t, regexp_extract_all(t, '{_WORD}') as ws from d),
 p as ({places}),
 b as (select rid, count(*) as n_base, min(i) - 1 as first_word, max(i) - 1 as last_word from p group by rid),
 l as (select rid, list_distinct(regexp_extract_all(unnest(string_split(t, chr(10))), '{_WORD}')) as ws from d),
-m as (select rid, label, len(list_intersect(l.ws, s.ws)) as n_both, len(s.ws) as size from l, (values {sets}) s(label, ws)
-    where len(list_intersect(l.ws, s.ws)) >= ceil({THRESHOLD} * len(s.ws) - 1e-9)),
+m as (select rid, label, len(list_intersect(l.ws, s.ws)) as n_both, len(s.ws) as size from l, (values {sets}) s(label, ws, need, bar)
+    where len(list_intersect(l.ws, s.ws)) >= ceil({THRESHOLD} * len(s.ws) - 1e-9) and list_has_all(l.ws, s.need) and not list_has_any(l.ws, s.bar)),
 a as (select rid, string_agg(distinct label, ',' order by label) as labels, string_agg(distinct label, ',' order by label) filter (where base) as base_labels
     from (select rid, label, true as base from p union all select rid, label, false from m) group by rid),
 s as (select rid, max(n_both / size) as c from m group by rid)
