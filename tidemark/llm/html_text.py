@@ -11,8 +11,11 @@ adverts, forms, share bars, related links and reader comments around or inside a
 
 Defined results: null or empty html gives no blocks and the empty text; scripts, styles,
 templates, controls and comments of the markup are never blocks; unclosed and stray tags are
-taken as browsers do for paragraphs, list items and cells; pages of any length are read
-whole; repeated rows are each read; other columns stay, one named as the output is replaced.
+taken as browsers do for paragraphs, list items and cells, a ``<`` that opens no complete tag
+is text; pages of any length and depth are read whole, in a time linear in their size (a path
+of more than ``OUTER + INNER`` block elements is known by its ends); repeated rows are each
+read, an empty table gives an empty one; other columns stay, one named as the output is
+replaced.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ import functools
 import html as entities
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -33,37 +37,55 @@ from .common import Codes, per_slice, table
 
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_DROPPED = "script|style|template|noscript|svg|iframe|object|select|textarea|button|title"
-_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_DROPPED})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>|<(?P<end>/)?(?P<tag>[a-zA-Z][\w:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|(?P<text>[^<]+|<)", re.S | re.I)
+#: Elements read to their end tag as raw text, and elements whose text is never shown as prose.
+_RAW = "script|style|template|noscript|iframe|textarea|title"
+_HIDDEN = frozenset("svg object select button canvas audio video math datalist".split())
+_PARAGRAPH = frozenset({"p"})
+_CLOSES = {k: _PARAGRAPH | v for k, v in {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}}.items()}
+_ATTRS = r"""(?:"[^"]*"|'[^']*'|[^'"<>])*+"""
+_TOKEN = re.compile(
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})(?![\w:-]){_ATTRS}>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^<>]*>|<(?P<end>/)?(?P<tag>[a-zA-Z][\w:-]*+)(?P<attrs>{_ATTRS})>|(?P<text>[^<]+|<)", re.S | re.I
+)
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _NAME = re.compile(r"[a-z]+")
-PATHS, WORDS, PATH_DIM, WORD_DIM, HIDDEN, COUNTS = 1 << 12, 1 << 12, 12, 6, 16, 6
+#: Of a path the outermost and innermost elements are read, and of an element so many names.
+OUTER, INNER, NAMES = 8, 24, 16
+PATHS, WORDS, PATH_DIM, WORD_DIM, HIDDEN, COUNTS, AT_ONCE = 1 << 12, 1 << 12, 12, 6, 16, 6, 1 << 14
 
 
 def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
     """Text, path and linked characters of each leaf block in page order."""
     out: list[tuple[str, tuple[str, ...], int]] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
+    blocks_at: list[int] = []
+    opened: Counter[str] = Counter()
     held: list[str] = []
-    path: tuple[str, ...] = ()
-    linked = links = 0
+    linked = hidden = 0
 
     def flush() -> None:
         nonlocal held, linked
-        text = " ".join(entities.unescape("".join(held)).split())
+        text = " ".join(entities.unescape("".join(held)).split()) if held else ""
         if text:
-            out.append((text, path, linked))
+            at = blocks_at if len(blocks_at) <= OUTER + INNER else blocks_at[:OUTER] + blocks_at[-INNER:]
+            out.append((text, tuple(x for i in at for x in stack[i][1]), linked))
         held, linked = [], 0
 
-    def path_now() -> tuple[str, ...]:
-        return tuple(x for tag, names in stack if tag in _BLOCK for x in names)
+    def cut(i: int) -> None:
+        """Close the elements from place ``i`` of the stack on."""
+        nonlocal hidden
+        for tag, _ in stack[i:]:
+            opened[tag] -= 1
+            hidden -= tag in _HIDDEN
+        del stack[i:]
+        while blocks_at and blocks_at[-1] >= i:
+            blocks_at.pop()
 
     for m in _TOKEN.finditer(page or ""):
         text = m["text"]
         if text is not None:
-            held.append(text)
-            linked += len(text) * (links > 0)
+            if not hidden:
+                held.append(text)
+                linked += len(text) * (opened["a"] > 0)
             continue
         if m["tag"] is None:
             continue
@@ -74,23 +96,17 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
         elif tag == "br":
             held.append(" ")
         if m["end"]:
-            if any(t == tag for t, _ in stack):
-                while stack.pop()[0] != tag:
-                    pass
-        else:
+            if opened[tag]:
+                cut(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
+        elif tag not in _VOID and not m["attrs"].rstrip().endswith("/"):
+            while block and blocks_at and stack[blocks_at[-1]][0] in _CLOSES.get(tag, _PARAGRAPH):
+                cut(blocks_at[-1])
+            names = tuple(f"{a.lower()}={x}" for a, *v in _ATTR.findall(m["attrs"]) for x in _NAME.findall("".join(v).lower()))[:NAMES] if m["attrs"] else ()
             if block:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == "p" or stack[i][0] in _CLOSES.get(tag, ()):
-                        del stack[i:]
-                    elif stack[i][0] in _BLOCK:
-                        break
-            if tag not in _VOID and not m["attrs"].rstrip().endswith("/"):
-                names = tuple(f"{a.lower()}={x}" for a, *v in _ATTR.findall(m["attrs"]) for x in _NAME.findall("".join(v).lower())) if m["attrs"] else ()
-                stack.append((tag, (tag, *names)))
-        if block or tag == "a":
-            links = sum(t == "a" for t, _ in stack)
-        if block:
-            path = path_now()
+                blocks_at.append(len(stack))
+            stack.append((tag, (tag, *names)))
+            opened[tag] += 1
+            hidden += tag in _HIDDEN
     flush()
     return out
 
@@ -132,7 +148,7 @@ class Labeller:
         mean = lambda e, flat, n: np.add.reduceat(e[flat], np.cumsum(n) - n) / n[:, None]
         return np.concatenate([mean(self.params["path"], p, p_len), mean(self.params["word"], w, w_len), counts], 1).astype(np.float32)
 
-    def _pass(self, x: np.ndarray, mask: np.ndarray, side: str) -> tuple[np.ndarray, list]:
+    def _pass(self, x: np.ndarray, mask: np.ndarray, side: str, taped: bool = True) -> tuple[np.ndarray, list]:
         """One direction over a padded batch (time x pages x inputs); masked steps keep the state."""
         w, c0, tape = self.params["w" + side], self.params["c" + side], []
         h = c = np.zeros((x.shape[1], HIDDEN), np.float32)
@@ -145,7 +161,8 @@ class Labeller:
             new_c = f * c + i * g
             th = np.tanh(new_c)
             m = mask[t][:, None]
-            tape.append((t, joined, i, f, o, g, c, th, m))
+            if taped:
+                tape.append((t, joined, i, f, o, g, c, th, m))
             c, h = m * new_c + (1 - m) * c, m * (o * th) + (1 - m) * h
             out[t] = h
         return out, tape
@@ -175,14 +192,17 @@ class Labeller:
         return padded, mask, (row, col)
 
     def logits(self, pages: list) -> list[np.ndarray]:
-        """Per page the blocks' outputs; pages of like length are read together."""
+        """Per page the blocks' outputs; pages of like length are read together, ``AT_ONCE`` padded blocks at most (a longer page alone)."""
         out: list[np.ndarray] = [np.zeros(0, np.float32)] * len(pages)
         order = sorted((i for i, p in enumerate(pages) if p), key=lambda i: len(pages[i]))
-        for a in range(0, len(order), 64):
-            part = order[a : a + 64]
+        while order:
+            n = 1
+            while n < min(64, len(order)) and (n + 1) * len(pages[order[n]]) <= AT_ONCE:
+                n += 1
+            part, order = order[:n], order[n:]
             sizes = np.array([len(pages[i]) for i in part])
             x, mask, at = self._pad(self.inputs(self.read([pages[i] for i in part])), sizes)
-            both = np.concatenate([self._pass(x, mask, "f")[0], self._pass(x, mask, "b")[0]], 2)
+            both = np.concatenate([self._pass(x, mask, "f", False)[0], self._pass(x, mask, "b", False)[0]], 2)
             z = (both @ self.params["out"] + self.params["bias"][0])[at]
             for i, piece in zip(part, np.split(z, np.cumsum(sizes)[:-1]), strict=True):
                 out[i] = piece
