@@ -12,5 +12,5 @@ def test_dictionaries_hold_different_texts(spark):
     rows = [("xx", t) for t in texts for _ in range(100)] + [("short", "klein aber mein")] * 3 + [("long", "wort " * 900), ("none", "12 34"), ("both", "tiny text"), ("both", "lang genug " * 20)]
     got = compress_lang.train(spark.createDataFrame(rows, "lang string, text string"))
     assert len(got["xx"].split(b"\n")) == len(set(got["xx"].split(b"\n"))) == compress_lang.TRAIN_ROWS
-    assert got["short"] == b"klein aber mein" and got["long"].count(b"wort") == 900 and "none" not in got and b"tiny" not in got["both"]
+    assert got["short"] == b"klein aber mein" and got["long"].count(b"wort") == 900 and "none" not in got and b"tiny" in got["both"] and b"lang genug" in got["both"]
     assert compress_lang.classify("klein aber mein", tuple(sorted(got.items())))[0] == "short"

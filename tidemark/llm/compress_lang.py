@@ -6,10 +6,9 @@ compressed with each language's dictionary, and the language with the smallest t
 Where the best total is not at least ``MARGIN`` below the second the prediction is marked
 as not ``sure`` (the general interface's rejection).
 
-The dictionaries come from at most ``TRAIN_ROWS`` different whole texts of 100 to ``LONGEST``
-characters per language, those with the smallest hash: a bounded sample that does not
-depend on row order. A language without any such text is learned from its texts of other
-lengths that have letters, whole too.
+The dictionaries come from at most ``TRAIN_ROWS`` different whole texts with letters per
+language, of any length, those with the smallest hash: a bounded sample that does not depend
+on row order. The shortest of them come last in the dictionary, where matches cost least.
 
 Defined results: null text, or text without any letter, gives ``und`` with score 0; ties go
 to the alphabetically first language; rows with null lang or null text are never learned
@@ -30,29 +29,27 @@ from pyspark.sql import types as T
 
 from .common import per_slice, table
 
-TRAIN_ROWS, LONGEST, PIECE, LEVEL, MARGIN = 64, 2000, 1 << 12, 6, 0.01
+TRAIN_ROWS, PIECE, LEVEL, MARGIN = 64, 1 << 12, 6, 0.01
 _OTHER = re.compile(r"[\W\d_]+")
 
 
-def train(labelled: DataFrame, rows: int = TRAIN_ROWS, longest: int = LONGEST) -> dict[str, bytes]:
+def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> dict[str, bytes]:
     """Dictionary bytes per language from columns ``text`` and ``lang``: at most ``rows`` different whole texts a language.
 
     Copies are put together and ranked by their hash alone, per salt and then over the salts,
     so that no task sees a language whole; the texts of the chosen hashes are read afterwards."""
     from pyspark.sql import Window
 
-    inside = F.length("text").between(100, int(longest))
-    fit = labelled.where("lang is not null and text is not null").where(inside | F.col("text").rlike(r"\p{L}")).select("lang", "text", inside.alias("inside"), F.xxhash64("text").alias("h"))
-    keyed = fit.select("lang", "inside", "h").distinct().withColumn("salt", F.pmod("h", F.lit(64)))
-    for keys in (["lang", "inside", "salt"], ["lang", "inside"]):
+    fit = labelled.where("lang is not null").where(F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64("text").alias("h"))
+    keyed = fit.select("lang", "h").distinct().withColumn("salt", F.pmod("h", F.lit(64)))
+    for keys in (["lang", "salt"], ["lang"]):
         rank = F.row_number().over(Window.partitionBy(*keys).orderBy("h"))
         keyed = keyed.withColumn("rank", rank).where(F.col("rank") <= rows).drop("rank")
-    chosen = keyed.withColumn("any", F.max("inside").over(Window.partitionBy("lang"))).where("inside = any").select("lang", "inside", "h")
-    found: dict[str, list[str]] = {}
-    for r in fit.join(F.broadcast(chosen), ["lang", "inside", "h"], "left_semi").select("lang", "h", "text").distinct().orderBy("lang", "h", "text").collect():
+    found: dict[str, list[tuple[int, str]]] = {}
+    for r in fit.join(F.broadcast(keyed.select("lang", "h")), ["lang", "h"], "left_semi").select("lang", "h", "text").distinct().orderBy("lang", "h", "text").collect():
         if len(held := found.setdefault(r["lang"], [])) < rows:
             held.append(r["text"])
-    return {lang: "\n".join(map(letters, ts)).encode() for lang, ts in found.items()}
+    return {lang: "\n".join(letters(t) for t in sorted(ts, key=len, reverse=True)).encode() for lang, ts in found.items()}
 
 
 @functools.lru_cache(4)
