@@ -311,7 +311,7 @@ def _files(path: str, end_id: int):
 
 
 def write(docs: DataFrame, path: str | None = None, end_id: int = 1) -> DataFrame:
-    """Files of all documents in ascending doc_id order (nulls first), one row each: part, seq, n_docs, n_tokens, payload.
+    """Files of all documents in ascending doc_id order (nulls first, rows of one doc_id by a hash of their text), one row each: part, seq, n_docs, n_tokens, payload.
 
     Ordered by (part, seq) the files hold the documents in order. The texts are dealt out by
     ranges of doc_id, coded as they stream through a task, and the files are kept as binary
@@ -319,7 +319,8 @@ def write(docs: DataFrame, path: str | None = None, end_id: int = 1) -> DataFram
     path = path or public_tokenizers.path("word_bpe_49k.json")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(min(200_000, max(8, total // PARTITION_BYTES)))
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    order = ["doc_id", "tie", "text"]
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie")).repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions(*order).drop("tie")
     return durable_table(ordered.mapInArrow(_files(path, end_id), "part int, seq int, n_docs bigint, n_tokens bigint, payload binary"))
 
 
