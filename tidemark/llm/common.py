@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import itertools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Texts handled at once by a Python worker, in bytes; one longer text is handled alone and whole.
 SLICE_BYTES = 1 << 21
+#: Characters of distinct chunks that a worker's table holds before it is emptied.
+CHUNK_CHARS = 1 << 23
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +47,14 @@ def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start)
 
 
+def release() -> None:
+    """Give freed memory back to the machine, so that a worker between tasks holds little."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def per_slice(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], column: str = "text"):
     """A mapInArrow function that applies ``fn`` slice by slice."""
 
@@ -51,6 +64,9 @@ def per_slice(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], column: str
                 out = fn(part)
                 if out is not None and out.num_rows:
                     yield out
+                out = None
+            batch = part = None
+        release()
 
     return run
 
@@ -84,24 +100,26 @@ class ChunkTable:
     """Ids of each distinct chunk, found once; texts are joined back from them by position.
 
     ``segment`` maps a list of new chunks to their id counts and joined ids. The table is
-    emptied when it holds more than ``limit`` chunks, so that a worker's memory stays
-    bounded; that only costs a second segmentation, never a different result."""
+    emptied when it holds more than ``limit`` chunks or ``CHUNK_CHARS`` characters of them, so
+    that a worker's memory stays bounded; that only costs a second segmentation, never a different result."""
 
     def __init__(self, segment: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 300_000):
         self.segment, self.limit = segment, limit
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
-        self.codes, self.done = Codes(), 0
+    def clear(self) -> None:
+        self.codes, self.done, self.chars = Codes(), 0, 0
         self.starts = self.lengths = np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.int32)
 
     def _known(self, chunks: list[str]) -> np.ndarray:
-        if len(self.codes) > self.limit:
-            self._clear()
+        if len(self.codes) > self.limit or self.chars > CHUNK_CHARS:
+            self.clear()
         code = np.fromiter(map(self.codes.__getitem__, chunks), np.int64, len(chunks))
         if len(self.codes) > self.done:
-            sizes, joined = self.segment(list(self.codes)[self.done :])
+            new = list(itertools.islice(self.codes, self.done, None))
+            self.chars += sum(map(len, new))
+            sizes, joined = self.segment(new)
             self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])
             self.lengths = np.concatenate([self.lengths, sizes])
             self.pool = np.concatenate([self.pool, joined.astype(np.int32)])

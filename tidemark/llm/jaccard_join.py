@@ -4,10 +4,10 @@ A document is the set of its distinct word shingles (hashed to 64 bits). Texts w
 sets form a class, and all further work is on classes, so copies cost nothing.
 
 1. Cells. Two sets that link differ in at most ``k`` shingles, where ``k`` follows from the
-   smaller set's size. Shingles are hashed into more than ``k`` groups, so one group at
-   least holds the same shingles in both sets: its contents name a cell that both lie in.
-   (Groups empty in a set don't count; a set with too many of them is grouped again with
-   another seed, as any partner with the same trouble is.) Cells are combined before the
+   smaller set's size. Shingles are hashed into groups, so many that some group holds the
+   same shingles in both sets: its contents name a cell that both lie in (see ``Bands``; a
+   set with too few groups that count is grouped again with another seed, as any partner
+   with the same trouble is). Cells are combined before the
    shuffle, so that a cell shared by very many sets arrives as few rows, and each cell gives
    edges from its sets to its smallest one. Connected, these edges split the sets into
    clusters, outside of which no link can be.
@@ -29,6 +29,7 @@ class; other columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +37,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, per_slice, slices, table
-from .components import components
+from .common import durable, per_slice, release, slices, table
+from .components import combined, components, forest, packed
 from .decontaminate import WordHashes
 
 #: Coordinates of a point, points in a leaf, cells held before they are combined and sent on, shingles in a block.
-DIMS, LEAF, BUFFER_CELLS, BLOCK_SHINGLES = 64, 32, 1_000_000, 1_500_000
+DIMS, LEAF, BUFFER_CELLS, BLOCK_SHINGLES = 64, 32, 400_000, 1_500_000
 _A, _B, _ALL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), (1 << 64) - 1
 
 
@@ -67,7 +68,7 @@ class Sets:
     """Shingle sets of texts, word hashes found once per distinct word."""
 
     def __init__(self, n: int):
-        self.n, self.hashes = n, WordHashes()
+        self.n, self.hashes = n, WordHashes(120_000)
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         lists = [t.encode().lower().split() if t else [] for t in texts]
@@ -81,14 +82,17 @@ def class_of(s: np.ndarray) -> int:
 
 
 class Bands:
-    """Sizes in bands; per band the number of differing shingles a link may have and of groups.
+    """Sizes in bands; per band the number of groups and which of them name cells.
 
-    A band is at most ``ratio`` wide, narrower at low thresholds, so that a set of its smallest
-    size still fills more groups than a link can have differences. The number of groups is the
-    least for which it does so with ``SIGMAS`` deviations to spare: nearly every set is done
-    with its first seed, whatever its size."""
+    A link in a band has at most ``k`` differing shingles. Small sets: more than ``k`` groups of a
+    seed are filled, so one at least is the same in both. Sets from ``SMALL`` on: a group is the
+    same in both with a chance of ``exp(-k / groups)`` or more, whatever the sets, and so many
+    groups are named that all of them differ with a chance under ``exp(-NATS)``, as rare as two
+    hashes that collide (where more than ``k`` groups are few and well filled, they are used
+    there too). Groups of fewer than ``least_held`` shingles are passed over there, since
+    sets that share a sentence would meet in them."""
 
-    SIGMAS = 3.0
+    SIGMAS, SMALL, NATS, MOST = 3.0, 96, 34.0, 96
 
     def __init__(self, percent: int):
         self.percent = percent
@@ -97,17 +101,18 @@ class Bands:
             raise ValueError("the cells need a threshold of 60 percent or more")
         self.least = next(n for n in range(1, 1 << 20) if 100 * n >= percent * (n + 1))
         self.tops = [self.least - 1]
-        self.known: dict[int, tuple[int, int]] = {}
+        self.known: dict[int, tuple[int, int, int, int]] = {}
 
     def band(self, n: int) -> int:
         while self.tops[-1] < n:
             self.tops.append(max(self.tops[-1] + 1, int(self.tops[-1] * self.ratio)))
         return int(np.searchsorted(self.tops, n))
 
-    def groups(self, band: int) -> tuple[int, int]:
+    def groups(self, band: int) -> tuple[int, int, int, int]:
+        """Cells that a set needs, groups, groups that may name a cell, shingles that one must hold."""
         if band not in self.known:
             k, n = (100 - self.percent) * self.tops[band] // self.percent, self.tops[band - 1] + 1
-            g = k + 1
+            g, need = k + 1, min(self.MOST, n // 2)
 
             def filled(g: int) -> float:
                 some, both = (1 - 1 / g) ** n, (1 - 2 / g) ** n if g > 1 else 0.0
@@ -116,7 +121,12 @@ class Bands:
 
             while filled(g) <= k and g < 4 * (k + 2):
                 g += 1 + g // 200
-            self.known[band] = (k, g)
+            self.known[band] = (k + 1, g, g, 1)
+            if n >= self.SMALL and (g > need or n < 3.5 * g):
+                g = math.ceil(k / -math.log(1 - math.exp(-self.NATS / need)))
+                held = 1 if n < 2 * g else 2 if n < 6 * g else 3
+                share = 1 - sum(math.exp(-n / g) * (n / g) ** i / math.factorial(i) for i in range(held))
+                self.known[band] = (need, g, min(g, math.ceil(1.15 * need / share)), held)
         return self.known[band]
 
     def of(self, n: int) -> list[int]:
@@ -124,19 +134,27 @@ class Bands:
         return list(range(self.band(max(self.least, -(-self.percent * n // 100))), self.band(n) + 1))
 
     def cells(self, s: np.ndarray) -> np.ndarray:
-        """Cell hashes of a set: per band and seed those of its non-empty groups, up to the first seed with more than ``k`` of them."""
+        """Cell hashes of a set: per band those of one seed after the other, until it has the cells that it needs."""
         out = []
         for band in self.of(len(s)) if len(s) >= self.least else ():
-            k, g = self.groups(band)
+            need, g, used, held = self.groups(band)
+            k = (100 - self.percent) * self.tops[band] // self.percent
+            small, got = need == k + 1 and used == g, 0
             for seed in itertools.count(1):
                 mixed = _mix(s + np.uint64(int(_A) * seed & _ALL))
                 group = ((mixed >> np.uint64(32)) * np.uint64(g)) >> np.uint64(32)
+                if used < g:
+                    keep = group < used
+                    mixed, group = mixed[keep], group[keep]
                 order = np.argsort(group, kind="stable")
                 first = np.flatnonzero(np.diff(group[order], prepend=np.uint64(g + 1)))
-                total = np.add.reduceat(mixed[order] * _B, first)
-                tag = _mix(np.array([band << 32 | seed], np.uint64))
-                out.append(_mix(total ^ _mix(group[order][first] + tag)))
-                if len(first) > k:
+                if len(first):
+                    total = np.add.reduceat(mixed[order] * _B, first)
+                    tag = _mix(np.array([band << 32 | seed], np.uint64))
+                    named = np.diff(first, append=len(group)) >= held
+                    out.append(_mix(total ^ _mix(group[order][first] + tag))[named])
+                    got = (0 if small else got) + int(named.sum())
+                if got >= need:
                     break
         return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
@@ -154,7 +172,10 @@ def _members(n: int):
 
 
 def _send_cells(n: int, percent: int, parts: int):
-    """Per part and buffer: the classes filed in it, how many cells each has there, and these cells."""
+    """Per part and buffer: the classes filed in it, how many cells each has there, and these cells.
+
+    Classes of a buffer that share cells are connected there and then, and their cells go on
+    under the smallest of them: a large group of near copies is one class a buffer."""
 
     def run(batches):
         sets, bands = Sets(n), Bands(percent)
@@ -169,8 +190,11 @@ def _send_cells(n: int, percent: int, parts: int):
             cells, owner = cells[order], owner[order]
             first = np.flatnonzero(np.diff(cells, prepend=~cells[:1]))
             hub = np.repeat(owner[first], np.diff(first, append=len(cells)))
-            edges = np.unique(np.stack([owner, hub], 1)[owner != hub], axis=0)
+            edges = forest(np.stack([owner, hub], 1)[owner != hub])
             cells, owner = cells[first], owner[first]
+            if len(edges):
+                at = np.minimum(np.searchsorted(edges[:, 0], owner), len(edges) - 1)
+                owner = np.where(edges[at, 0] == owner, edges[at, 1], owner)
             part = (cells >> np.uint64(40)) % np.uint64(parts)
             order = np.lexsort((owner, part))
             cells, owner, part = cells[order], owner[order], part[order]
@@ -194,32 +218,38 @@ def _send_cells(n: int, percent: int, parts: int):
                     size = 0
         if held:
             yield flush()
+        sets = None
+        release()
 
     return run
 
 
-def _meet(batches):
-    """Edges from the classes that share a cell to the smallest of them."""
-    cells, owner, edges = [], [], []
-    for batch in batches:
-        for row in batch.to_pylist():
-            if row["cells"] is not None:
-                cells.append(np.frombuffer(row["cells"], np.uint64))
-                owner.append(np.repeat(np.frombuffer(row["classes"], np.int64), np.frombuffer(row["counts"], np.uint32)))
-            else:
-                edges.append(np.frombuffer(row["edges"], np.int64).reshape(-1, 2))
-    if cells:
-        c, o = np.concatenate(cells), np.concatenate(owner)
-        cells.clear(), owner.clear()
-        order = np.lexsort((o, c))
-        c, o = c[order], o[order]
-        first = np.flatnonzero(np.diff(c, prepend=~c[:1]))
-        hub = np.repeat(o[first], np.diff(first, append=len(c)))
-        edges.append(np.stack([o, hub], 1)[o != hub])
-    if edges:
-        e = np.unique(np.concatenate(edges), axis=0)
-        for i in range(0, len(e), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array(e[i : i + 10_000, 0]), pa.array(e[i : i + 10_000, 1])], ["a", "b"])
+def _meet(buckets: int):
+    """Edges from the classes that share cells to the smallest that they reach here, packed by class."""
+
+    def run(batches):
+        cells, owner, edges = [], [], []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["cells"] is not None:
+                    cells.append(np.frombuffer(row["cells"], np.uint64))
+                    owner.append(np.repeat(np.frombuffer(row["classes"], np.int64), np.frombuffer(row["counts"], np.uint32)))
+                else:
+                    edges.append(np.frombuffer(row["edges"], np.int64).reshape(-1, 2))
+        if cells:
+            c, o = np.concatenate(cells), np.concatenate(owner)
+            cells.clear(), owner.clear()
+            order = np.lexsort((o, c))
+            c, o = c[order], o[order]
+            first = np.flatnonzero(np.diff(c, prepend=~c[:1]))
+            hub = np.repeat(o[first], np.diff(first, append=len(c)))
+            edges.append(np.stack([o, hub], 1)[o != hub])
+        if edges:
+            yield from packed(forest(np.concatenate(edges)), buckets)
+        cells = owner = edges = c = o = order = first = hub = None
+        release()
+
+    return run
 
 
 class RTree:
@@ -282,11 +312,15 @@ def link(classes: np.ndarray, sets: list[np.ndarray], percent: int, side: np.nda
     return out
 
 
-def _link_task(percent: int):
+def _link_task(percent: int, n: int):
     def run(group: pa.Table) -> pa.Table:
         seen: dict[int, tuple[np.ndarray, int]] = {}
-        for c, data, side in zip(*(group.column(x).to_pylist() for x in ("class", "shingles", "side")), strict=True):
-            seen[c] = (np.frombuffer(data, np.uint64), side)
+        sets = Sets(n)
+        for batch in group.to_batches():
+            for piece in slices(batch, "text"):
+                for c, s, side in zip(piece.column("class").to_pylist(), sets(piece.column("text").to_pylist()), piece.column("side").to_pylist(), strict=True):
+                    if len(s) and class_of(s) == c:
+                        seen[c] = (s, side)
         across = len({side for _, side in seen.values()}) > 1
         found = link(np.array(list(seen), np.int64), [s for s, _ in seen.values()], percent, np.array([b for _, b in seen.values()]) if across else None) if len(seen) > 1 else []
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
@@ -294,20 +328,6 @@ def _link_task(percent: int):
     return run
 
 
-def _shingles(n: int):
-    sets: list[Sets] = []
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if not sets:
-            sets.append(Sets(n))
-        got = sets[0](batch.column("text").to_pylist())
-        ok = pa.array([bool(len(s)) and class_of(s) == c for s, c in zip(got, batch.column("class").to_pylist(), strict=True)], pa.bool_())
-        cols = [batch.column("class"), batch.column("cluster"), batch.column("tasks"), pa.array([s.tobytes() for s in got], pa.binary())]
-        return pa.RecordBatch.from_arrays(cols, ["class", "cluster", "tasks", "shingles"]).filter(ok)
-
-    return run
-
-
 def _tasks(classes: DataFrame, percent: int) -> DataFrame:
     """``classes`` (class, cluster, n_shingles) plus the tasks each is in: structs of name and side.
 
@@ -341,16 +361,16 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     members = durable(docs.mapInArrow(per_slice(_members(words)), "doc_id bigint, n_shingles bigint, class bigint"))
     classes = members.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"))
     shingles = members.agg(F.sum("n_shingles")).first()[0] or 0
-    parts = int(max(16, shingles // 4_000_000))
+    parts = int(max(16, shingles // 2_000_000))
     sent = docs.mapInArrow(_send_cells(words, percent, parts), "part int, classes binary, counts binary, cells binary, edges binary")
-    edges = sent.repartition(parts, "part").mapInArrow(_meet, "a bigint, b bigint")
-    clusters = durable(components(edges).withColumnsRenamed({"node": "class", "component": "cluster"}))
+    buckets = max(16, parts // 100)
+    met = sent.repartition(parts, "part").mapInArrow(_meet(buckets), "bucket int, edges binary")
+    clusters = durable(components(combined(met, buckets)).withColumnsRenamed({"node": "class", "component": "cluster"}))
     filed = _tasks(clusters.join(classes.where("rep is not null"), "class").select("class", "cluster", "n_shingles"), percent)
     chosen = filed.join(classes.select("class", "rep"), "class")
     texts = chosen.join(docs, F.col("rep") == F.col("doc_id")).select("class", "cluster", "tasks", "text")
-    sets = texts.mapInArrow(per_slice(_shingles(words)), "class bigint, cluster bigint, tasks array<struct<task:string,side:int>>, shingles binary")
-    placed = sets.select("class", "cluster", "shingles", F.explode("tasks").alias("t")).select("class", "cluster", "shingles", "t.*")
-    links = placed.groupBy("cluster", "task").applyInArrow(_link_task(percent), "a bigint, b bigint")
+    placed = texts.select("class", "cluster", "text", F.explode("tasks").alias("t")).select("class", "cluster", "text", "t.*")
+    links = placed.groupBy("cluster", "task").applyInArrow(_link_task(percent, words), "a bigint, b bigint")
     joined = components(links).withColumnsRenamed({"node": "class"})
     lowest = classes.join(joined, "class", "left").select("class", "rep", F.coalesce("component", "class").alias("component"))
     smallest = lowest.groupBy("component").agg(F.min("rep").alias("component_id"))

@@ -3,7 +3,7 @@
 No piece of the model holds a whitespace marker after another character, and none but its
 byte piece holds a line feed (both are checked when the model is loaded). Merges therefore
 never cross the start of a run of markers or a line feed, and a text's ids are the ids of
-its chunks in order. Each worker segments a distinct chunk once and joins ids by position.
+its chunks in order. Each task segments a distinct chunk once and joins ids by position.
 
 Defined results: null text counts as empty and gives no ids; any other text, however long,
 is encoded whole; a null id list decodes to the empty text; repeated rows give repeated
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ChunkTable, joined, per_slice, table
+from .common import ChunkTable, joined, per_slice, release, table
 
 _CHUNK = re.compile("\n|▁*[^▁\n]+|▁+")
 
@@ -42,7 +42,7 @@ def _chunks(path: str) -> ChunkTable | None:
     head = sp.encode("\n")
     if any("▁" in p.lstrip("▁") or "\n" in p for p in pieces) or len(head) != 2 or sp.encode("\n ") != [*head, sp.piece_to_id("▁")]:
         return None
-    return ChunkTable(lambda new: joined([x[2:] for x in sp.encode(["\n" + c for c in new], num_threads=1)]))
+    return ChunkTable(lambda new: joined([x[2:] for x in sp.encode(["\n" + c for c in new], num_threads=1)]), limit=150_000)
 
 
 def encode_texts(texts: list[str | None], path: str) -> tuple:
@@ -66,7 +66,13 @@ def encode(df: DataFrame, path: str | None = None, text: str = "text", ids: str
         out = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int32()))
         return pa.RecordBatch.from_arrays([*batch.columns, out], [*batch.schema.names, ids])
 
-    return df.mapInArrow(per_slice(run, text), schema)
+    def task(batches):
+        yield from per_slice(run, text)(batches)
+        if chunks := _chunks(path):  # an idle worker holds no table
+            chunks.clear()
+            release()
+
+    return df.mapInArrow(task, schema)
 
 
 def decode(df: DataFrame, path: str | None = None, ids: str = "ids", text: str = "decoded") -> DataFrame:
