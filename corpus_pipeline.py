@@ -1,7 +1,14 @@
 """The corpus pipeline: quality rules, near duplicates, substring dedup, decontamination, tokens.
 
 Every stage takes (spark, docs, sf_dir) and gets what the stage before kept, written as
-Parquet and read again; all but the last return the columns of documents."""
+Parquet and read again; all but the last return the columns of documents.
+
+Defined results, for every stage: an empty table gives an empty one; extra columns stay up to
+the last stage, whatever their names; null and empty texts fail the base quality rules and go
+there, and each later stage takes them as texts without words; repeated rows are judged one by
+one by the quality rules and one of them stays from near_duplicates on; of documents with one
+doc_id and different texts one stays; rows without doc_id are never near duplicates, lose no
+passages and are otherwise treated like others; ties go to the smallest doc_id."""
 
 from __future__ import annotations
 
@@ -11,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, jaccard_join, pieces, quality, substring_dedup
-from tidemark.llm.common import table
+from tidemark.llm.common import shared_folder, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +58,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    top = f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints').rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    top = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if k == len(STAGES) - 1:
