@@ -215,11 +215,13 @@ def feature_moments(spark, d):
 
 @query("wgt_sequential_bootstrap")
 def sequential(spark, d):
-    """Per key, draws of intervals in proportion to their uniqueness."""
+    """Per key, draws of all its events, spans of 36 hours, in proportion to their uniqueness."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        ids = sorted(g["event_id"])
-        spans = [(i, i + 2) for i in range(len(ids))]
+        g = g.sort_values(["ts", "event_id"])
+        ids, ts = g["event_id"].tolist(), g["ts"].to_numpy()
+        ends = ts.searchsorted(ts + pd.Timedelta(hours=36).to_timedelta64(), side="right") - 1
+        spans = list(zip(range(len(ids)), ends.tolist(), strict=True))
         return pd.DataFrame({"k": g["k"].iloc[0], "event_id": [ids[i] for i in N.sequential_bootstrap(spans, len(ids), seed=int(g["k"].iloc[0]))]})
 
-    return ticks(spark, d).where("event_id % 10 = 0").select("k", "event_id").groupBy("k").applyInPandas(run, "k long, event_id long")
+    return ticks(spark, d).select("k", "event_id", "ts").groupBy("k").applyInPandas(run, "k long, event_id long")

@@ -12,11 +12,11 @@ from ..operators import labels as L
 from ..operators.lineage import durable
 from .registry import PANEL_SQL, TICKS_SQL, panel, query, read, ticks
 
-EVENTS_SQL = TICKS_SQL.rstrip() + ",\n ev as (select event_id as id, k, ts as t0, ts + interval 36 hour as t1, price as p0, 0.5 as trgt, 1 as side from ticks where event_id % 23 = 0)"
+EVENTS_SQL = TICKS_SQL.rstrip() + ",\n ev as (select event_id as id, k, ts as t0, ts + interval 36 hour as t1, price as p0, 0.5 as trgt, 1 as side from ticks)"
 
 
 def events(spark, d):
-    t = ticks(spark, d).where("event_id % 23 = 0")
+    t = ticks(spark, d)
     return t.select(F.col("event_id").alias("id"), "k", F.col("ts").alias("t0"), (F.col("ts") + F.expr("interval 36 hours")).alias("t1"), F.col("price").alias("p0"), F.lit(0.5).alias("trgt"), F.lit(1).alias("side"))
 
 
@@ -180,8 +180,9 @@ def cv_embargo(spark, d):
 
 @query("pf_bet_size", None)
 def bet_size(spark, d):
-    t = ticks(spark, d).where("size between 1 and 99")
-    p = 0.5 + F.col("size") / 200
+    """Every tick; a probability is kept within 0.005 of 0 and 1, where the size has no limit."""
+    t = ticks(spark, d)
+    p = F.greatest(F.lit(0.005), F.least(F.lit(0.995), 0.5 + F.col("size") / 200))
     return t.select("event_id", S.discretise(S.bet_size(p, F.when(F.col("price") > 10, 1).otherwise(-1)), 0.1).alias("bet"))
 
 
@@ -213,11 +214,11 @@ def txt_scores(spark, d):
     return ticks(spark, d).select("event_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("price") / 20.0)).alias("score"))
 
 
-@query("graph_reachable", """+ recursive c as (select a.entity as a, b.entity as b, corr(a.ret, b.ret) as c from panel a join panel b on a.month = b.month and a.entity < b.entity and a.entity < 30 and b.entity < 30 group by 1, 2),
+@query("graph_reachable", """+ recursive c as (select a.entity as a, b.entity as b, corr(a.ret, b.ret) as c from panel a join panel b on a.month = b.month and a.entity < b.entity group by 1, 2),
  e as (select a, b from c where c > 0.15 union select b, a from c where c > 0.15), r(n) as (select cast(1 as bigint) union select e.b from r join e on e.a = r.n) select n as node from r""", PANEL_SQL)
 def graph_reachable(spark, d):
     """Nodes reachable from node 1 over edges of correlation above a threshold."""
-    return _reach(spark, _edges(panel(spark, d).where("entity < 30")))
+    return _reach(spark, _edges(panel(spark, d)))
 
 
 @query("graph_reachable_all")
