@@ -14,6 +14,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from tidemark.llm import common, components, compress_lang, decontaminate, html_text, jaccard_join, licenses, pieces, quality, queries, rans, substring_dedup, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, __row string, ids string, score string, class long"
@@ -405,3 +406,10 @@ def test_pipeline_stages(spark, sf):
     sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     last = {r.doc_id: r.text for r in after["decontamination"]}
     assert {r.doc_id: list(r.ids) for r in after["tokens"]} == {i: sp.encode(t) for i, t in last.items()}
+
+
+def test_pipeline_of_an_empty_table(spark, sf, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        d = spark.read.parquet(f"{sf}/{name}.parquet")
+        (d.limit(0) if name == "documents" else d).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
