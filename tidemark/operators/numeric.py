@@ -29,11 +29,28 @@ def adf_statistic(series: np.ndarray, lags: int = 1, trend: bool = False) -> flo
 
 
 def sup_adf(series: np.ndarray, least: int = 20, lags: int = 1) -> np.ndarray:
-    """For every end the largest ADF statistic (constant and trend) over all starts; missing before ``least`` rows."""
+    """For every end the largest ADF statistic (constant and trend) over all starts; missing before ``least`` rows.
+
+    The regressions of one end differ in their first row alone, so their cross products are differences
+    of running sums and all starts are solved at once."""
     out = np.full(len(series), math.nan)
+    if len(series) < least:
+        return out
+    x = (series - series.mean()) / (series.std() or 1.0)
+    d = np.diff(x)
+    n = len(d) - lags
+    cols = np.stack([x[lags:-1], *(d[lags - k : len(d) - k] for k in range(1, lags + 1)), np.ones(n), np.arange(n) / n, d[lags:]], 1)
+    run = np.concatenate([np.zeros((1, cols.shape[1], cols.shape[1])), np.cumsum(cols[:, :, None] * cols[:, None, :], 0)])
+    p = cols.shape[1] - 1
     for end in range(least, len(series) + 1):
-        found = [adf_statistic(series[s:end], lags, True) for s in range(0, end - least + 1)]
-        out[end - 1] = np.nanmax(found) if not np.all(np.isnan(found)) else math.nan
+        cross = run[end - lags - 1] - run[: end - least + 1]
+        rows = end - lags - 1 - np.arange(len(cross))
+        inverse = np.linalg.pinv(cross[:, :p, :p], hermitian=True)
+        beta = np.einsum("sij,sj->si", inverse, cross[:, :p, p])
+        rest = np.maximum(cross[:, p, p] - np.einsum("si,si->s", beta, cross[:, :p, p]), 0)
+        var = inverse[:, 0, 0] * rest / np.maximum(1, rows - p)
+        t = np.where((rows >= lags + 4) & (var > 0), beta[:, 0] / np.sqrt(np.where(var > 0, var, 1)), math.nan)
+        out[end - 1] = np.nanmax(t) if not np.all(np.isnan(t)) else math.nan
     return out
 
 
