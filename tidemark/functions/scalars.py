@@ -57,6 +57,14 @@ def normal_cdf(x: Column) -> Column:
     return F.when(x >= 0, 1 - upper).otherwise(upper)
 
 
+def normal_cdf_sql(x: str) -> str:
+    """The same approximation as SQL text over a column name."""
+    t = f"(1 / (1 + 0.2316419 * abs({x})))"
+    poly = f"{t} * (0.319381530 + {t} * (-0.356563782 + {t} * (1.781477937 + {t} * (-1.821255978 + {t} * 1.330274429))))"
+    upper = f"(exp(-{x} * {x} / 2) / sqrt(2 * pi()) * {poly})"
+    return f"(case when {x} >= 0 then 1 - {upper} else {upper} end)"
+
+
 def clean_text(text: Column) -> Column:
     """Line ends to spaces, ASCII punctuation dropped, lower case, single spaces."""
     flat = F.regexp_replace(text, "[\\r\\n]", " ")

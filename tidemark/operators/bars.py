@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sequential import scan
+
 
 def ohlcv(ticks: DataFrame, keys: Sequence[str], ts: str = "ts", price: str = "price", size: str = "size") -> DataFrame:
     return ticks.groupBy(*keys).agg(
@@ -28,72 +30,68 @@ def tick_sign(price: str, w) -> Column:
     return F.coalesce(F.signum(F.col(price) - F.lag(price).over(w)), F.lit(0.0)).cast("int")
 
 
-def fold(ticks: DataFrame, key: Sequence[str], values: Sequence[Column], state: Column, step, out: str) -> DataFrame:
-    """A sequential scan per key as one fold over its time-ordered array; ``step`` appends to ``out``,
-    which should be rare, since every append copies what was found before."""
-    packed = ticks.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(*values))).alias("__v"))
-    return packed.select(*key, F.explode(F.aggregate("__v", state, step, lambda s: s["out"])).alias(out))
-
-
 def reset_bars(ticks: DataFrame, key: Sequence[str], amount: str, threshold: float, ts: str = "ts") -> DataFrame:
     """Closing times of bars whose amount reaches the threshold; the remainder is dropped on closing."""
-    state = F.struct(F.lit(0.0).alias("a"), F.array().cast("array<timestamp>").alias("out"))
 
-    def step(s: Column, v: Column) -> Column:
-        total = s["a"] + v["x"]
-        full = total >= threshold
-        return F.struct(F.when(full, 0.0).otherwise(total).alias("a"), F.when(full, F.concat(s["out"], F.array(v["t"]))).otherwise(s["out"]).alias("out"))
+    def step(total, amounts):
+        total, hits = total or 0.0, []
+        for i, x in enumerate(amounts):
+            total += x
+            if total >= threshold:
+                total = 0.0
+                hits.append(i)
+        return total, hits
 
-    return fold(ticks, key, [F.col(ts).cast("timestamp").alias("t"), F.col(amount).cast("double").alias("x")], state, step, "time_close")
+    t = ticks.where(F.col(amount).isNotNull()).select(*key, F.col(ts).cast("timestamp").alias("time_close"), F.col(amount).cast("double").alias("__x"))
+    return scan(t, key, ["time_close", "__x"], ["__x"], step, [*key, "time_close"], "")
 
 
 def cusum(ticks: DataFrame, key: Sequence[str], change: str, threshold: str, ts: str = "ts") -> DataFrame:
     """Times at which the running sum of changes leaves (-h, h); only the side that fired starts anew."""
-    state = F.struct(F.lit(0.0).alias("p"), F.lit(0.0).alias("n"), F.array().cast("array<timestamp>").alias("out"))
 
-    def step(s: Column, v: Column) -> Column:
-        p, n = F.greatest(F.lit(0.0), s["p"] + v["d"]), F.least(F.lit(0.0), s["n"] + v["d"])
-        low, high = n < -v["h"], (p > v["h"])
-        hit = low | high
-        return F.struct(
-            F.when(~low & high, 0.0).otherwise(p).alias("p"), F.when(low, 0.0).otherwise(n).alias("n"), F.when(hit, F.concat(s["out"], F.array(v["t"]))).otherwise(s["out"]).alias("out")
-        )
+    def step(state, changes, limits):
+        (up, down), hits = state or (0.0, 0.0), []
+        for i, (d, h) in enumerate(zip(changes, limits, strict=True)):
+            up, down = max(0.0, up + d), min(0.0, down + d)
+            if down < -h:
+                down = 0.0
+                hits.append(i)
+            elif up > h:
+                up = 0.0
+                hits.append(i)
+        return (up, down), hits
 
-    return fold(ticks.where(F.col(change).isNotNull()), key, [F.col(ts).cast("timestamp").alias("t"), F.col(change).cast("double").alias("d"), F.col(threshold).cast("double").alias("h")], state, step, "event_time")
+    t = ticks.where(F.col(change).isNotNull()).select(*key, F.col(ts).cast("timestamp").alias("event_time"), F.col(change).cast("double").alias("__d"), F.col(threshold).cast("double").alias("__h"))
+    return scan(t, key, ["event_time", "__d", "__h"], ["__d", "__h"], step, [*key, "event_time"], "")
 
 
 def imbalance_bars(ticks: DataFrame, key: Sequence[str], kind: str = "tick", first: float = 20.0, span: int = 5) -> DataFrame:
     """Bars that close when the signed amount exceeds what past bars lead one to expect.
 
     A bar closes when |sum of signed amounts| >= max(E[length] * |E[signed amount]|, first);
-    the expectations are exponentially weighted over past bars. State runs tick by tick, so
-    each key is one grouped map in Arrow batches."""
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts", kind="stable")
-        a, rows = 2 / (span + 1), []
-        length = mean = None
-        theta = count = 0
-        last = None
-        opened = None
-        for t, p, v in zip(pdf["ts"], pdf["price"], pdf["size"], strict=True):
-            sign = 0 if last is None or p == last else (1 if p > last else -1)
-            last = p
-            opened = opened if opened is not None else t
-            theta += sign * {"tick": 1.0, "volume": v, "dollar": p * v}[kind]
+    the expectations are exponentially weighted over past bars."""
+    a = 2 / (span + 1)
+    amount = {"tick": F.lit(1.0), "volume": F.col("size"), "dollar": F.col("price") * F.col("size")}[kind]
+
+    def step(state, signed, times):
+        opened, theta, count, length, mean = state or (None, 0.0, 0, None, None)
+        hits, opens, counts, thetas = [], [], [], []
+        for i, (x, t) in enumerate(zip(signed, times, strict=True)):
+            opened = t if opened is None else opened
+            theta += x
             count += 1
             if abs(theta) >= max((length or 0) * abs(mean or 0), first):
-                rows.append((opened, t, count, float(theta)))
-                length = count if length is None else a * count + (1 - a) * length
-                mean = theta / count if mean is None else a * theta / count + (1 - a) * mean
-                theta = count = 0
-                opened = None
-        out = pd.DataFrame(rows, columns=["time_open", "time_close", "n_ticks", "theta"])
-        for k in key:
-            out[k] = pdf[k].iloc[0] if len(pdf) else None
-        return out[[*key, "time_open", "time_close", "n_ticks", "theta"]]
-
-    kinds = {f.name: f.dataType.simpleString() for f in ticks.schema.fields}
-    schema = ", ".join([f"{k} {kinds[k]}" for k in key] + ["time_open timestamp", "time_close timestamp", "n_ticks long", "theta double"])
-    return ticks.select(*key, F.col("ts").cast("timestamp").alias("ts"), "price", F.col("size").cast("double").alias("size")).groupBy(*key).applyInPandas(run, schema)
+                hits.append(i)
+                opens.append(opened)
+                counts.append(count)
+                thetas.append(theta)
+                length = float(count) if length is None else a * count + (1 - a) * length
+                mean = theta / count if mean is None else a * (theta / count) + (1 - a) * mean
+                opened, theta, count = None, 0.0, 0
+        return (opened, theta, count, length, mean), hits, opens, counts, thetas
+
+    w = Window.partitionBy(*key).orderBy("time_close")
+    t = ticks.select(*key, F.col("ts").cast("timestamp").alias("time_close"), "price", F.col("size").cast("double").alias("size"))
+    t = t.select(*key, "time_close", (tick_sign("price", w) * F.coalesce(amount, F.lit(0.0))).cast("double").alias("__x"))
+    out = scan(t, key, ["time_close"], ["__x", "time_close"], step, [*key, "time_close"], "time_open timestamp, n_ticks long, theta double")
+    return out.select(*key, "time_open", "time_close", "n_ticks", "theta")

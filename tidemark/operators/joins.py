@@ -42,10 +42,14 @@ def concurrency(events: DataFrame, bars: DataFrame, keys: Sequence[str], start:
 
 
 def purge(train: DataFrame, test: DataFrame, start: str, end: str, id: str = "id", width: str = "1 day") -> DataFrame:
-    """Training intervals that overlap no test interval; both sides meet on the time buckets they span."""
+    """Training intervals that overlap no test interval.
+
+    Both sides meet on the time buckets they span. There an interval overlaps if, of the test intervals
+    that start by its end, the furthest reaches its start: one sort a bucket, nothing is paired."""
     seconds = {"1 day": 86400, "1 hour": 3600}[width]
     bucket = lambda c: F.floor(F.col(c).cast("timestamp").cast("double") / seconds).cast("long")
     spread = lambda d, *cols: d.select(*cols, F.explode(F.sequence(bucket(start), bucket(end))).alias("__b"))
-    held = spread(test, F.col(start).alias("__s"), F.col(end).alias("__e"))
-    hit = spread(train, id, start, end).join(held.distinct(), "__b").where((F.col(start) <= F.col("__e")) & (F.col(end) >= F.col("__s"))).select(id).distinct()
-    return train.join(hit, id, "left_anti")
+    held = spread(test, F.col(start).alias("__at"), F.col(end).alias("__e")).groupBy("__b", "__at").agg(F.max("__e").alias("__e"))
+    reach = held.withColumn("__reach", F.max("__e").over(Window.partitionBy("__b").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)))
+    near = as_of(spread(train, id, F.col(start), F.col(end).alias("__end")), reach, ["__b"], "__end", "__at", ["__reach"])
+    return train.join(near.where(F.col("__reach") >= F.col(start)).select(id).distinct(), id, "left_anti")

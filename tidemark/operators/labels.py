@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import as_of, concurrency, in_range
+from .lineage import durable
 
 
 def vertical_barrier(events: DataFrame, bars: DataFrame, key: Sequence[str], days: float, start: str = "t0", ts: str = "ts") -> DataFrame:
@@ -50,18 +51,16 @@ def uniqueness(events: DataFrame, bars: DataFrame, key: Sequence[str]) -> DataFr
     return both.where(span > 0).withColumn("uniqueness", (F.col("s1") - F.coalesce("s0", F.lit(0.0))) / span).select(*own, "uniqueness")
 
 
-def numbered(df: DataFrame, order: Sequence[str], buckets: int = 256) -> DataFrame:
+def numbered(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """``df`` plus __i, its place in the global order from 0, and __n, the number of rows.
 
-    Rows are dealt into buckets by approximate quantiles of the first column and ranked there;
-    only the buckets' counts are summed in one place."""
-    first = F.col(order[0]).cast("double")
-    cuts = df.agg(F.percentile_approx(first, [k / buckets for k in range(1, buckets)], 10_000).alias("__cuts"))
-    dealt = df.join(F.broadcast(cuts)).withColumn("__b", F.size(F.filter("__cuts", lambda c: c < first))).drop("__cuts")
-    counts = dealt.groupBy("__b").agg(F.count(F.lit(1)).alias("__c"))
+    Rows are ranged by the whole order and sorted in their partitions, and kept with their place
+    there (a second sampling could draw other bounds); only the partitions' counts are summed in one place."""
+    placed = durable(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id()))
+    part, place = F.shiftright("__m", 33).alias("__b"), F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = placed.groupBy(part).agg(F.count(F.lit(1)).alias("__c"))
     before = counts.select("__b", (F.sum("__c").over(Window.orderBy("__b")) - F.col("__c")).alias("__before"), F.sum("__c").over(Window.partitionBy()).alias("__n"))
-    rank = F.row_number().over(Window.partitionBy("__b").orderBy(*order))
-    return dealt.join(F.broadcast(before), "__b").withColumn("__i", F.col("__before") + rank - 1).drop("__b", "__before")
+    return placed.withColumn("__b", part).join(F.broadcast(before), "__b").withColumn("__i", F.col("__before") + place).drop("__b", "__before", "__m")
 
 
 def folds(df: DataFrame, order: Sequence[str], count: int, name: str = "fold") -> DataFrame:

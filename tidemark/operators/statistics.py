@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import normal_cdf
-from .windows import rolling
+from .windows import growth, rolling
 
 
 def hit_miss(df: DataFrame, keys: list[str], x: str) -> DataFrame:
@@ -19,7 +19,7 @@ def return_statistics(df: DataFrame, time: str, r: str, b: str) -> DataFrame:
 
     Drawdown is measured on the cumulative return, not on wealth."""
     w = Window.orderBy(time)
-    c = df.withColumn("c", F.exp(F.sum(F.log1p(F.col(r))).over(w)) - 1).withColumn("top", F.max("c").over(w)).withColumn("dd", F.when(F.col("top") != 0, (F.col("c") - F.col("top")) / F.col("top")))
+    c = df.withColumn("c", growth(F.col(r), w) - 1).withColumn("top", F.max("c").over(w)).withColumn("dd", F.when(F.col("top") != 0, (F.col("c") - F.col("top")) / F.col("top")))
     n, active = F.count(F.lit(1)), F.col(r) - F.col(b)
     total, sd = F.max_by("c", time), F.stddev_samp(r)
     annual = F.pow(1 + total, 12.0 / n) - 1

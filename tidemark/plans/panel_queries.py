@@ -29,7 +29,7 @@ def RUN():  # noqa: N802
 def composite(spark, d):
     p = panel(spark, d)
     z = p.select("entity", "month", *[W.zscore(F.col(c), ["month"]).alias(c) for c in ("disc", "tax", "qty")])
-    return z.select("entity", "month", F.round(W.signed_sum({"disc": 1, "tax": -1, "qty": 1}), 6).alias("composite"))
+    return z.select("entity", "month", F.round(W.signed_sum({"disc": 1, "tax": -1, "qty": 1}, z.columns), 6).alias("composite"))
 
 
 @query("prj_alpha_target", """+ j as (select entity, month, ret, mret, ret - disc * mret as alpha from panel left join market using (month))
@@ -81,7 +81,7 @@ def membership(spark, d):
 
 @query("imp_month_median", "select entity, month, round(coalesce(gap, median(gap) over (partition by month)), 6) as filled from panel")
 def month_median(spark, d):
-    return panel(spark, d).select("entity", "month", F.round(W.month_median(F.col("gap"), ["month"]), 6).alias("filled"))
+    return W.fill_median(panel(spark, d).select("entity", "month", "gap"), "gap", ["month"]).select("entity", "month", F.round("gap", 6).alias("filled"))
 
 
 @query("imp_fill", """select entity, month, round(last_value(gap ignore nulls) over (partition by entity order by month rows between unbounded preceding and current row), 6) as forward,
@@ -132,8 +132,8 @@ def purge(spark, d):
     return J.purge(v, fold, "t0", "t1").select("id")
 
 
-@query("win_index", """+ g as (select entity, month, ret, sum(ln(1 + ret)) over (partition by entity order by month rows unbounded preceding) as s from panel)
- select entity, month, round(case when ret is not null then 100 * exp(s) end, 4) as price_index, round(case when ret is not null then exp(s) - 1 end, 6) as cumulative,
+@query("win_index", """+ g as (select entity, month, ret, product(1 + ret) over (partition by entity order by month rows unbounded preceding) as s from panel)
+ select entity, month, round(case when ret is not null then 100 * s end, 4) as price_index, round(case when ret is not null then s - 1 end, 6) as cumulative,
  round(case when row_number() over w = 1 then 0 else lag(ret) over w end, 6) as lagged from g window w as (partition by entity order by month)""")
 def index(spark, d):
     p = panel(spark, d)
@@ -161,10 +161,14 @@ def ewm(spark, d):
     return W.ewm(p, ["entity"], "month", "px", 10).select("entity", F.col("month").cast("date").alias("month"), F.round("ewm_mean", 4).alias("ewm_mean"))
 
 
-@query("win_ewm_std")
+@query("win_ewm_std", """+ o as (select entity, month, ret, row_number() over (partition by entity order by month) as i from panel where ret is not null),
+ w as (select a.entity, a.month, pow(1 - 2.0 / 13, a.i - b.i) as u, b.ret as x, a.i - b.i as back, b.i = 1 as oldest from o a join o b on a.entity = b.entity and b.i <= a.i),
+ m as (select entity, month, sum(u) as s1, sum(u * u) as s2, sum(u * x) / sum(u) as mean, sum(case when oldest then u else u * 2.0 / 13 end * x) as rec from w group by 1, 2),
+ v as (select entity, month, sum(w.u * (w.x - m.mean) * (w.x - m.mean)) / any_value(s1) as biased from w join m using (entity, month) group by 1, 2)
+ select entity, month, round(mean, 6) as ewm_mean, round(rec, 6) as ewm_recursive, round(case when s1 * s1 - s2 > 1e-12 * s1 * s1 then sqrt(biased * s1 * s1 / (s1 * s1 - s2)) end, 6) as ewm_std from m join v using (entity, month)""")
 def ewm_std(spark, d):
     p = panel(spark, d).where("ret is not null").select("entity", F.col("month").cast("timestamp").alias("month"), "ret")
-    return W.ewm(p, ["entity"], "month", "ret", 12)
+    return W.ewm(p, ["entity"], "month", "ret", 12).select("entity", F.col("month").cast("date").alias("month"), *rounded("ewm_mean", "ewm_recursive", "ewm_std"))
 
 
 @query("win_rank_scaled", """+ r as (select entity, month, disc, dense_rank() over (partition by month order by disc) - 1 as k from panel), t as (select *, max(k) over (partition by month) as top from r)
@@ -308,7 +312,8 @@ def return_statistics(spark, d):
     return A.return_statistics(r.join(market(spark, d).where("mret is not null").withColumnRenamed("mret", "b"), "month"), "month", "r", "b").drop("psr", "calmar")
 
 
-@query("agg_probabilistic_sharpe")
+@query("agg_probabilistic_sharpe", _STATS[: _STATS.rindex(" select ")] + f""", y as (select arg_max(c, month) as total, count(*) as n, avg(r) / stddev_samp(r) * sqrt(count(*)) as z, min(case when top <> 0 then (c - top) / top end) as dd from x)
+ select round({S.normal_cdf_sql("z")}, 6) as psr, round((pow(1 + total, 12.0 / n) - 1) / abs(dd), 6) as calmar from y""")
 def probabilistic_sharpe(spark, d):
     r = panel(spark, d).where("ret is not null").groupBy("month").agg(F.avg("ret").alias("r"))
     return A.return_statistics(r.join(market(spark, d).where("mret is not null").withColumnRenamed("mret", "b"), "month"), "month", "r", "b").select("psr", "calmar")
