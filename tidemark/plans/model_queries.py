@@ -8,13 +8,13 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import numeric as N
 from ..operators import selection as T
 from ..operators import windows as W
+from ..operators.lineage import durable
 from .registry import market, panel, query, ticks
 
 FEATURES = ["px", "qty", "disc", "tax"]
@@ -85,12 +85,13 @@ def loadings_top(spark, d):
     return spark.createDataFrame([(f, float(v)) for f, v in zip(FEATURES, load, strict=True)], "feature string, loading double").orderBy(F.desc("loading"), "feature").limit(3)
 
 
-@query("sta_covariance")
+@query("sta_covariance", """select a.entity, b.entity as other, round(covar_samp(a.ret, b.ret), 9) + 0.0 as cov, case when count(*) > 1 then round(corr(a.ret, b.ret), 6) + 0.0 end as corr
+ from panel a join panel b on a.month = b.month and a.entity <= b.entity where a.ret is not null and b.ret is not null group by 1, 2""")
 def covariance(spark, d):
     """Long-form covariance of monthly returns by self join on months."""
     a = per_entity(spark, d).select("entity", "month", "ret")
     b = a.withColumnsRenamed({"entity": "other", "ret": "r2"})
-    return a.join(b, "month").where("entity <= other").groupBy("entity", "other").agg(F.covar_samp("ret", "r2").alias("cov"), F.corr("ret", "r2").alias("corr"))
+    return a.join(b, "month").where("entity <= other").groupBy("entity", "other").agg((F.round(F.covar_samp("ret", "r2"), 9) + 0.0).alias("cov"), (F.round(F.corr("ret", "r2"), 6) + 0.0).alias("corr"))
 
 
 def _rebalance(spark, d):
@@ -142,11 +143,17 @@ def backtest(spark, d):
     return held.join(r, ["entity", "month"]).groupBy("month").agg(F.sum(F.coalesce(F.col("weight") * F.col("ret"), F.lit(0.0))).alias("portfolio"))
 
 
-def _set(spark, d):
+def _rows(spark, d):
+    """Features, a probe dealt by arithmetic (the same in every pass) and whether the next return is up."""
     w = Window.partitionBy("entity").orderBy("month")
     p = panel(spark, d).withColumn("y", F.when(F.lead("ret").over(w) >= 0, 1).otherwise(0)).where("ret is not null")
-    p = p.select("entity", "month", "y", *FEATURES, F.rand(7).alias("probe"))
-    return VectorAssembler(inputCols=[*FEATURES, "probe"], outputCol="features").transform(p)
+    probe = (F.col("entity") * 7919 + (F.year("month") * 12 + F.month("month")) * 10473) % 1009 / 1009.0
+    return p.select("entity", "month", "y", *FEATURES, probe.alias("probe"))
+
+
+def _set(spark, d):
+    """The rows with their vectors, written once: fitting passes over them many times."""
+    return durable(VectorAssembler(inputCols=[*FEATURES, "probe"], outputCol="features").transform(_rows(spark, d)))
 
 
 def _forest():
@@ -207,10 +214,16 @@ def linear_models(spark, d):
     return out
 
 
-@query("ml_feature_moments")
+_MOMENTS = " union all ".join(f"select '{c}' as feature, round(avg({c}), 6) as mean, round(var_samp({c}), 6) as variance from s" for c in [*FEATURES, "probe"])
+
+
+@query("ml_feature_moments", "+ s as (select *, ((entity * 7919 + (year(month) * 12 + month(month)) * 10473) % 1009) / 1009.0 as probe from panel where ret is not null) " + _MOMENTS)
 def feature_moments(spark, d):
-    s = _set(spark, d).select(Summarizer.metrics("mean", "variance").summary(F.col("features")).alias("s"))
-    return s.select(vector_to_array("s.mean").alias("mean"), vector_to_array("s.variance").alias("variance"))
+    """Mean and variance of each feature and of the probe, in one pass."""
+    s = _rows(spark, d)
+    names = [*FEATURES, "probe"]
+    both = s.agg(*[F.struct(F.round(F.avg(c), 6).alias("mean"), F.round(F.var_samp(c), 6).alias("variance")).alias(c) for c in names])
+    return both.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"{c}.mean"), F.col(f"{c}.variance")) for c in names])).alias("r")).select("r.*")
 
 
 @query("wgt_sequential_bootstrap")

@@ -106,13 +106,16 @@ def beats_probe(spark, d):
     return T.beats_probe(scores, "probe", 100).select("feature", *rounded("mean_share"))
 
 
-@query("lbl_daily_volatility", None)
+@query("lbl_daily_volatility", """+ t as (select * from ticks where price > 0), q as (select k, ts, price, ts - interval 1 day as due from t),
+ r as (select q.k, q.ts, q.price / b.price - 1 as r, row_number() over (partition by q.k order by q.ts) as i from q asof join t b on q.k = b.k and q.due > b.ts),
+ w as (select a.k, a.ts, pow(1 - 2.0 / 101, a.i - b.i) as u, b.r as x from r a join r b on a.k = b.k and b.i <= a.i), m as (select k, ts, sum(u) as s1, sum(u * u) as s2, sum(u * x) / sum(u) as mean from w group by 1, 2)
+ select k, ts, round(case when count(*) > 1 then sqrt(sum(u * (x - mean) * (x - mean)) * any_value(s1) / (any_value(s1) * any_value(s1) - any_value(s2))) end, 6) as ewm_std from w join m using (k, ts) group by 1, 2""", TICKS_SQL)
 def daily_volatility(spark, d):
     """Return against the last price more than a day before, and its exponentially weighted deviation."""
     t = ticks(spark, d).where("price > 0")
     q = t.select("k", "ts", "price", (F.col("ts") - F.expr("interval 1 day")).alias("due"))
     r = J.as_of(q, t.select("k", "ts", F.col("price").alias("before")), ["k"], "due", "ts", ["before"], strict=True).where("before is not null")
-    return W.ewm(r.select("k", "ts", (F.col("price") / F.col("before") - 1).alias("r")), ["k"], "ts", "r", 100).select("k", "ts", "ewm_std")
+    return W.ewm(r.select("k", "ts", (F.col("price") / F.col("before") - 1).alias("r")), ["k"], "ts", "r", 100).select("k", "ts", *rounded("ewm_std"))
 
 
 @query("wgt_return_attribution", """+ c as (select t.k, t.ts, t.price, count(e.id) as n, coalesce(t.price - lag(t.price) over (partition by t.k order by t.ts), 0) as r from ticks t left join ev e on e.k = t.k and t.ts between e.t0 and e.t1 group by t.k, t.ts, t.price)

@@ -142,14 +142,21 @@ def bar_reset(spark, d):
     return B.reset_bars(ticks(spark, d), ["k"], "size", 400)
 
 
-@query("evt_cusum", None)
+_CUSUM = """ o as (select k, ts, d, h, row_number() over (partition by k order by ts) as i from c where d is not null),
+ s(k, i, ts, p, n, hit) as (select k, i, ts, case when least(0.0, d) >= -h and greatest(0.0, d) > h then 0.0 else greatest(0.0, d) end, case when least(0.0, d) < -h then 0.0 else least(0.0, d) end, least(0.0, d) < -h or greatest(0.0, d) > h from o where i = 1
+ union all select o.k, o.i, o.ts, case when least(0.0, s.n + o.d) >= -o.h and greatest(0.0, s.p + o.d) > o.h then 0.0 else greatest(0.0, s.p + o.d) end, case when least(0.0, s.n + o.d) < -o.h then 0.0 else least(0.0, s.n + o.d) end,
+ least(0.0, s.n + o.d) < -o.h or greatest(0.0, s.p + o.d) > o.h from s join o on o.k = s.k and o.i = s.i + 1)
+ select k, ts as event_time from s where hit"""
+
+
+@query("evt_cusum", "+ recursive c as (select k, ts, price - lag(price) over (partition by k order by ts) as d, cast(15 as double) as h from ticks)," + _CUSUM, TICKS_SQL)
 def cusum(spark, d):
     w = Window.partitionBy("k").orderBy("ts")
     t = ticks(spark, d).withColumns({"d": F.col("price") - F.lag("price").over(w), "h": F.lit(15.0)})
     return B.cusum(t, ["k"], "d", "h")
 
 
-@query("evt_cusum_log_threshold", None)
+@query("evt_cusum_log_threshold", "+ recursive l as (select k, ts, ln(price) - ln(lag(price) over (partition by k order by ts)) as d from ticks where price > 0), c as (select k, ts, d, coalesce(stddev_samp(d) over (partition by k order by ts rows between 19 preceding and current row), 1.0) as h from l)," + _CUSUM, TICKS_SQL)
 def cusum_log(spark, d):
     """Log changes against a per-row threshold, the rolling deviation."""
     w = Window.partitionBy("k").orderBy("ts")
@@ -157,14 +164,23 @@ def cusum_log(spark, d):
     return B.cusum(t.withColumn("h", F.coalesce(F.stddev_samp("d").over(w.rowsBetween(-19, 0)), F.lit(1.0))), ["k"], "d", "h")
 
 
-@query("bar_imbalance_tick", None)
+_IMBALANCE = """+ recursive o as (select k, ts, cast(coalesce(sign(price - lag(price) over (partition by k order by ts)), 0) * {amount} as double) as x, row_number() over (partition by k order by ts) as i from ticks),
+ s(k, i, ts, opened, theta, cnt, length, mean, hit) as (select k, i, ts, ts, x, 1, cast(0 as double), cast(0 as double), abs(x) >= {first} from o where i = 1
+ union all select k, i, ts, opened, theta, cnt, length, mean, abs(theta) >= greatest(length * abs(mean), {first}) from
+ (select o.k, o.i, o.ts, case when s.hit then o.ts else s.opened end as opened, case when s.hit then o.x else s.theta + o.x end as theta, case when s.hit then 1 else s.cnt + 1 end as cnt,
+ case when not s.hit then s.length when s.length = 0 then s.cnt else s.cnt / 3.0 + (1 - 1 / 3.0) * s.length end as length,
+ case when not s.hit then s.mean when s.length = 0 then s.theta / s.cnt else s.theta / s.cnt / 3.0 + (1 - 1 / 3.0) * s.mean end as mean from s join o on o.k = s.k and o.i = s.i + 1))
+ select k, opened as time_open, ts as time_close, cast(cnt as bigint) as n_ticks, round(theta, 6) as theta from s where hit"""
+
+
+@query("bar_imbalance_tick", _IMBALANCE.format(amount="1", first="3.0"), TICKS_SQL)
 def imbalance_tick(spark, d):
-    return B.imbalance_bars(ticks(spark, d), ["k"], "tick", first=3.0)
+    return B.imbalance_bars(ticks(spark, d), ["k"], "tick", first=3.0).withColumn("theta", F.round("theta", 6))
 
 
-@query("bar_imbalance_volume", None)
+@query("bar_imbalance_volume", _IMBALANCE.format(amount="size", first="150.0"), TICKS_SQL)
 def imbalance_volume(spark, d):
-    return B.imbalance_bars(ticks(spark, d), ["k"], "volume", first=150.0)
+    return B.imbalance_bars(ticks(spark, d), ["k"], "volume", first=150.0).withColumn("theta", F.round("theta", 6))
 
 
 @query("cv_folds", """+ o as (select event_id, row_number() over (order by ts, event_id) - 1 as i, count(*) over () as n from ticks)
@@ -178,12 +194,13 @@ def cv_embargo(spark, d):
     return L.embargo(ticks(spark, d).select("event_id", "ts"), ["ts", "event_id"], 3, "ts").select("event_id", "until")
 
 
-@query("pf_bet_size", None)
+@query("pf_bet_size", f"""+ p as (select event_id, price, greatest(0.005, least(0.995, 0.5 + size / 200)) as p from ticks), z as (select event_id, case when price > 10 then 1 else -1 end as side, (p - 0.5) / sqrt(p * (1 - p)) as z from p)
+ select event_id, round(greatest(-1.0, least(1.0, round(side * (2 * {S.normal_cdf_sql("z")} - 1) / 0.1) * 0.1)), 6) + 0.0 as bet from z""", TICKS_SQL)
 def bet_size(spark, d):
     """Every tick; a probability is kept within 0.005 of 0 and 1, where the size has no limit."""
     t = ticks(spark, d)
     p = F.greatest(F.lit(0.005), F.least(F.lit(0.995), 0.5 + F.col("size") / 200))
-    return t.select("event_id", S.discretise(S.bet_size(p, F.when(F.col("price") > 10, 1).otherwise(-1)), 0.1).alias("bet"))
+    return t.select("event_id", S.discretise(S.bet_size(p, F.when(F.col("price") > 10, 1).otherwise(-1)), 0.1).alias("bet")).withColumn("bet", F.round("bet", 6) + 0.0)
 
 
 @query("pf_position_size", "select event_id, round((price - 10) / sqrt(4 + (price - 10) * (price - 10)), 6) as position, cast(floor(round((price - 10) / sqrt(4 + (price - 10) * (price - 10)), 6) * 100) as bigint) as units from ticks", TICKS_SQL)
