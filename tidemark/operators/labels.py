@@ -77,3 +77,34 @@ def embargo(df: DataFrame, order: Sequence[str], rows: int, time: str, name: str
     later = own.select((F.col("__i") - rows).alias("__i"), F.col(time).alias("__t"))
     last = df.agg(F.max(time).alias("__m"))
     return own.join(later, "__i", "left").join(F.broadcast(last)).withColumn(name, F.coalesce("__t", "__m")).drop("__i", "__n", "__t", "__m")
+
+
+def barrier_events(events: DataFrame, path: DataFrame, key: Sequence[str], take: float, stop: float, least: float, side: bool = False) -> DataFrame:
+    """Triple barriers of the events whose target exceeds ``least``. Without a side both barriers are ``take`` wide and the side is 1."""
+    kept = events.where(F.col("trgt") > least)
+    if not side:
+        kept, stop = kept.withColumn("side", F.lit(1)), take
+    return triple_barrier(kept, path, key, take, stop)
+
+
+def drop_rare(df: DataFrame, label: str, least: float = 0.05) -> DataFrame:
+    """Rows without the rarest labels: the rarest goes while its share of what is left is at most ``least``
+    and three labels or more are left (ties go by label). Counts per label are the only ordered rows."""
+    c = df.groupBy(label).agg(F.count(F.lit(1)).alias("__c"))
+    up = Window.orderBy("__c", label)
+    rest = F.sum("__c").over(up.rowsBetween(0, Window.unboundedFollowing))
+    left = F.count(F.lit(1)).over(up.rowsBetween(0, Window.unboundedFollowing))
+    rare = c.withColumn("__ok", ((F.col("__c") / rest <= least) & (left >= 3)).cast("int"))
+    gone = rare.withColumn("__gone", F.min("__ok").over(up.rowsBetween(Window.unboundedPreceding, 0))).where("__gone = 1").select(F.col(label).alias("__l"))
+    return df.join(gone, F.col(label).eqNullSafe(F.col("__l")), "left_anti")
+
+
+def indicator(events: DataFrame, bars: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Long form of the indicator matrix: a row for each event and each bar in its span."""
+    return in_range(events, bars.select(*key, "ts"), key, "t0", "t1", "ts").select("id", *key, "ts")
+
+
+def indicator_uniqueness(cells: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Mean of 1 / (events on the bar) over each event's bars, from the long form."""
+    per = cells.groupBy(*key, "ts").agg(F.count(F.lit(1)).alias("__c"))
+    return cells.join(per, [*key, "ts"]).groupBy("id").agg(F.avg(1 / F.col("__c")).alias("uniqueness"))

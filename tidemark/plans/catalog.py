@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import allocation_queries, model_queries, more_queries, panel_queries, tick_queries, validation_queries  # noqa: F401
+from . import allocation_queries, model_queries, more_queries, panel_queries, signal_queries, tick_queries, validation_queries  # noqa: F401
 from .registry import ORACLES, QUERIES, Query
 
 FLAGSHIP: Query = panel_queries.composite
