@@ -19,6 +19,14 @@ def safe_div(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a, b), F.lit(0.0))
 
 
+def float_div(a: Column, b: Column) -> Column:
+    """a / b as SQL divides doubles: by zero gives an infinity, or NaN for 0 / 0, instead of an error."""
+    a, b = a.cast("double"), b.cast("double")
+    nan = F.isnan(a) | (a == 0)
+    by_zero = F.when(nan, float("nan")).when(a > 0, float("inf")).when(a < 0, float("-inf"))
+    return F.when(b == 0, by_zero).otherwise(F.try_divide(a, b))
+
+
 def clip(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import normal_cdf
+from ..functions.scalars import float_div, normal_cdf
 from .windows import growth, rolling
 
 
@@ -17,7 +17,8 @@ def hit_miss(df: DataFrame, keys: list[str], x: str) -> DataFrame:
 def return_statistics(df: DataFrame, time: str, r: str, b: str) -> DataFrame:
     """One row of statistics of a monthly return series ``r`` against a benchmark ``b`` (one row a month).
 
-    Drawdown is measured on the cumulative return, not on wealth."""
+    Drawdown is measured on the cumulative return, not on wealth. A ratio to a deviation or drawdown of 0 is
+    an infinity (NaN for 0 / 0), as in SQL."""
     w = Window.orderBy(time)
     c = df.withColumn("c", growth(F.col(r), w) - 1).withColumn("top", F.max("c").over(w)).withColumn("dd", F.when(F.col("top") != 0, (F.col("c") - F.col("top")) / F.col("top")))
     n, active = F.count(F.lit(1)), F.col(r) - F.col(b)
@@ -25,10 +26,10 @@ def return_statistics(df: DataFrame, time: str, r: str, b: str) -> DataFrame:
     annual = F.pow(1 + total, 12.0 / n) - 1
     six = lambda x: F.round(x, 6)
     return c.agg(
-        n.alias("n"), F.round(total, 5).alias("total"), six(annual).alias("annual_return"), six(12 * F.avg(r)).alias("average_annual"), six(12**0.5 * sd).alias("annual_vol"), six(12 * F.avg(r) / (12**0.5 * sd)).alias("sharpe"),
-        F.round(F.min("dd"), 5).alias("max_drawdown"), six(F.count_if(F.col("dd") < 0) / 12.0).alias("under_water"), six(F.min(r)).alias("worst_month"), six(12 * F.avg(active) / (12**0.5 * F.stddev_samp(active))).alias("information_ratio"),
-        six(12 * F.regr_intercept(F.col(r), F.col(b))).alias("alpha"), six(12**0.5 * (sd - F.stddev_samp(b))).alias("tracking_error"), six(F.corr(r, b)).alias("correlation"),
-        six(normal_cdf(F.avg(r) / sd * F.sqrt(n))).alias("psr"), six(annual / F.abs(F.min("dd"))).alias("calmar"),
+        n.alias("n"), F.round(total, 5).alias("total"), six(annual).alias("annual_return"), six(12 * F.avg(r)).alias("average_annual"), six(12**0.5 * sd).alias("annual_vol"), six(float_div(12 * F.avg(r), 12**0.5 * sd)).alias("sharpe"),
+        F.round(F.min("dd"), 5).alias("max_drawdown"), six(F.count_if(F.col("dd") < 0) / 12.0).alias("under_water"), six(F.min(r)).alias("worst_month"), six(float_div(12 * F.avg(active), 12**0.5 * F.stddev_samp(active))).alias("information_ratio"),
+        six(12 * F.regr_intercept(F.col(r), F.col(b))).alias("alpha"), six(12**0.5 * (sd - F.stddev_samp(b))).alias("tracking_error"), six(float_div(F.covar_pop(r, b), F.stddev_pop(r) * F.stddev_pop(b))).alias("correlation"),
+        six(normal_cdf(float_div(F.avg(r), sd) * F.sqrt(n))).alias("psr"), six(float_div(annual, F.abs(F.min("dd")))).alias("calmar"),
     )
 
 
