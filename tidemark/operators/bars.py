@@ -70,7 +70,8 @@ def imbalance_bars(ticks: DataFrame, key: Sequence[str], kind: str = "tick", fir
 
     A bar closes when |sum of signed amounts| >= max(E[length] * |E[signed amount]|, first);
     the expectations are exponentially weighted over past bars."""
-    a = 2 / (span + 1)
+    n = (span + 1) / 2  # divided by, as in SQL: a bar that meets its bound exactly then closes in both
+    rest = 1 - 1 / n
     amount = {"tick": F.lit(1.0), "volume": F.col("size"), "dollar": F.col("price") * F.col("size")}[kind]
 
     def step(state, signed, times):
@@ -85,8 +86,8 @@ def imbalance_bars(ticks: DataFrame, key: Sequence[str], kind: str = "tick", fir
                 opens.append(opened)
                 counts.append(count)
                 thetas.append(theta)
-                length = float(count) if length is None else a * count + (1 - a) * length
-                mean = theta / count if mean is None else a * (theta / count) + (1 - a) * mean
+                length = float(count) if length is None else count / n + rest * length
+                mean = theta / count if mean is None else theta / count / n + rest * mean
                 opened, theta, count = None, 0.0, 0
         return (opened, theta, count, length, mean), hits, opens, counts, thetas
 
