@@ -18,13 +18,15 @@ def vertical_barrier(events: DataFrame, bars: DataFrame, key: Sequence[str], day
     return as_of(due, stop, key, "__due", ts, ["t1"], "forward").where("t1 is not null").drop("__due")
 
 
-def triple_barrier(events: DataFrame, path: DataFrame, key: Sequence[str], take: float, stop: float) -> DataFrame:
+def triple_barrier(events: DataFrame, path: DataFrame, key: Sequence[str], take: float, stop: float, unit: float = 1.0) -> DataFrame:
     """First of profit take, stop loss and ``t1`` for events (id, t0, t1, p0, trgt, side); a multiplier of 0 or less is no barrier.
 
+    A barrier is multiplier * trgt / unit, rounded in that order.
+
     Adds sl, pt (first touches, strict), end (the earliest) and first_touch (1 take, -1 stop, 0 neither)."""
     moves = in_range(events, path.select(*key, F.col("ts"), F.col("price").alias("p")), key, "t0", "t1", "ts").withColumn("r", (F.col("p") / F.col("p0") - 1) * F.col("side"))
-    low = F.when((F.lit(stop) > 0) & (F.col("r") < -stop * F.col("trgt")), F.col("ts"))
-    high = F.when((F.lit(take) > 0) & (F.col("r") > take * F.col("trgt")), F.col("ts"))
+    low = F.when((F.lit(stop) > 0) & (F.col("r") < -stop * F.col("trgt") / unit), F.col("ts"))
+    high = F.when((F.lit(take) > 0) & (F.col("r") > take * F.col("trgt") / unit), F.col("ts"))
     touched = moves.groupBy(*key, "id").agg(F.min(low).alias("sl"), F.min(high).alias("pt"))
     out = events.join(touched, [*key, "id"], "left").withColumn("end", F.least("t1", "sl", "pt"))
     first = F.when(F.col("pt").isNotNull() & (F.col("sl").isNull() | (F.col("pt") < F.col("sl"))), 1).when(F.col("sl").isNotNull(), -1).otherwise(0)
@@ -79,12 +81,12 @@ def embargo(df: DataFrame, order: Sequence[str], rows: int, time: str, name: str
     return own.join(later, "__i", "left").join(F.broadcast(last)).withColumn(name, F.coalesce("__t", "__m")).drop("__i", "__n", "__t", "__m")
 
 
-def barrier_events(events: DataFrame, path: DataFrame, key: Sequence[str], take: float, stop: float, least: float, side: bool = False) -> DataFrame:
-    """Triple barriers of the events whose target exceeds ``least``. Without a side both barriers are ``take`` wide and the side is 1."""
-    kept = events.where(F.col("trgt") > least)
+def barrier_events(events: DataFrame, path: DataFrame, key: Sequence[str], take: float, stop: float, least: float, side: bool = False, unit: float = 1.0) -> DataFrame:
+    """Triple barriers of the events whose target, trgt / unit, exceeds ``least``. Without a side both barriers are ``take`` wide and the side is 1."""
+    kept = events.where(F.col("trgt") / unit > least)
     if not side:
         kept, stop = kept.withColumn("side", F.lit(1)), take
-    return triple_barrier(kept, path, key, take, stop)
+    return triple_barrier(kept, path, key, take, stop, unit)
 
 
 def drop_rare(df: DataFrame, label: str, least: float = 0.05) -> DataFrame:

@@ -120,8 +120,8 @@ def long_short_weights(spark, d):
  select v.id, least(v.t1, sl, pt) as t_end, case when pt is not null and (sl is null or pt < sl) then 1 when sl is not null then -1 else 0 end as first_touch from v left join f using (id)""", EVENTS_SQL)
 def barrier_events(spark, d):
     """Events whose target (a twentieth of the price) exceeds a quarter, with equal barriers on both sides."""
-    e = events(spark, d).withColumn("trgt", F.col("p0") / 20)
-    kept = L.barrier_events(e, ticks(spark, d), ["k"], 1.5, 1.0, 0.25)
+    e = events(spark, d).withColumn("trgt", F.col("p0"))
+    kept = L.barrier_events(e, ticks(spark, d), ["k"], 1.5, 1.0, 0.25, unit=20.0)
     return kept.select("id", F.col("end").alias("t_end"), "first_touch")
 
 
