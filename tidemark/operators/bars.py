@@ -18,10 +18,12 @@ def ohlcv(ticks: DataFrame, keys: Sequence[str], ts: str = "ts", price: str = "p
 
 
 def bar_id(kind: str, key: Sequence[str], threshold: float, ts: str = "ts", price: str = "price", size: str = "size") -> Column:
-    """Number of the tick, volume or dollar bar a tick falls in: the running amount over the threshold."""
+    """Number of the tick, volume or dollar bar a tick falls in: the running amount over the threshold.
+
+    Money is summed in decimals: a tick that meets a threshold exactly opens its bar whatever was summed before."""
     w = Window.partitionBy(*key).orderBy(ts)
     run = w.rowsBetween(Window.unboundedPreceding, 0)
-    amount = {"tick": F.row_number().over(w) - 1, "volume": F.sum(size).over(run), "dollar": F.sum(F.col(price) * F.col(size)).over(run)}[kind]
+    amount = {"tick": F.row_number().over(w) - 1, "volume": F.sum(size).over(run), "dollar": F.sum((F.col(price) * F.col(size)).cast("decimal(38,6)")).over(run).cast("double")}[kind]
     return F.floor(amount / threshold).cast("long")
 
 
