@@ -9,7 +9,7 @@ from ..functions import scalars as S
 from ..operators import bars as B
 from ..operators import joins as J
 from ..operators import labels as L
-from ..operators.lineage import durable
+from ..operators import pairs as P
 from .registry import PANEL_SQL, TICKS_SQL, panel, query, read, ticks
 
 EVENTS_SQL = TICKS_SQL.rstrip() + ",\n ev as (select event_id as id, k, ts as t0, ts + interval 36 hour as t1, price as p0, 0.5 as trgt, 1 as side from ticks)"
@@ -235,28 +235,10 @@ def txt_scores(spark, d):
  e as (select a, b from c where c > 0.15 union select b, a from c where c > 0.15), r(n) as (select cast(1 as bigint) union select e.b from r join e on e.a = r.n) select n as node from r""", PANEL_SQL)
 def graph_reachable(spark, d):
     """Nodes reachable from node 1 over edges of correlation above a threshold."""
-    return _reach(spark, _edges(panel(spark, d)))
+    return P.reachable(panel(spark, d), "entity", "month", "ret", 1, 0.15)
 
 
 @query("graph_reachable_all")
 def graph_reachable_all(spark, d):
-    """The same over all entities; graph_reachable stops at entity 30, as its SQL does."""
-    return _reach(spark, _edges(panel(spark, d)))
-
-
-def _edges(p):
-    """Both directions of every pair of entities whose returns correlate above the threshold."""
-    p = p.select("entity", "month", "ret")
-    q = p.withColumnsRenamed({"entity": "b", "ret": "rb"})
-    e = p.join(q, "month").where("entity < b").groupBy(F.col("entity").alias("a"), "b").agg(F.corr("ret", "rb").alias("c")).where("c > 0.15")
-    return e.select("a", "b").union(e.select("b", "a")).distinct()
-
-
-def _reach(spark, edges):
-    """Breadth first: each round joins only the nodes that the last one found."""
-    edges = durable(edges)
-    seen = front = durable(spark.createDataFrame([(1,)], "node long"))
-    while front.take(1):
-        front = durable(front.join(edges, front.node == edges.a).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti"))
-        seen = seen.union(front)
-    return seen
+    """The same query by the name it had when graph_reachable stopped at entity 30."""
+    return P.reachable(panel(spark, d), "entity", "month", "ret", 1, 0.15)
