@@ -225,11 +225,31 @@ def expanding_frac_diff(x: np.ndarray, d: float, loss: float = 0.01) -> np.ndarr
 
 
 def sequential_bootstrap(spans: list[tuple[int, int]], draws: int, seed: int = 0) -> list[int]:
-    """Draws of intervals, each with probability in proportion to its uniqueness given those drawn before."""
-    rng, held, out = np.random.default_rng(seed), np.zeros(max(b for _, b in spans) + 1), []
+    """Draws of intervals, each with probability in proportion to its uniqueness given those drawn before.
+
+    A draw changes only the intervals that meet it; sums of blocks of intervals find the next one."""
+    rng, out = np.random.default_rng(seed), []
+    a, b = np.asarray(spans, int).reshape(-1, 2).T
+    n, held = len(a), np.zeros(b.max() + 1)
+    size = max(64, int(n**0.5))
+    unique = np.zeros(-(-n // size) * size)
+    unique[:n] = 1.0
+    blocks = unique.reshape(-1, size)
+    sums = blocks.sum(1)
+    ordered = bool((np.diff(a) >= 0).all() and (np.diff(b) >= 0).all())
     for _ in range(draws):
-        unique = np.array([np.mean(1 / (held[a : b + 1] + 1)) for a, b in spans])
-        k = int(rng.choice(len(spans), p=unique / unique.sum()))
-        held[spans[k][0] : spans[k][1] + 1] += 1
+        run = sums.cumsum()
+        u = rng.random() * run[-1]
+        j = min(int(run.searchsorted(u, side="right")), len(run) - 1)
+        within = blocks[j].cumsum()
+        k = min(j * size + int(within.searchsorted(u - (run[j - 1] if j else 0.0), side="right")), n - 1)
         out.append(k)
+        held[a[k] : b[k] + 1] += 1
+        met = slice(int(b.searchsorted(a[k])), int(a.searchsorted(b[k], side="right"))) if ordered else np.flatnonzero((a <= b[k]) & (b >= a[k]))
+        x, y = a[met], b[met]
+        low = x[0] if ordered else x.min()
+        share = np.concatenate([[0.0], (1 / (held[low : (y[-1] if ordered else y.max()) + 1] + 1)).cumsum()])
+        unique[met] = (share[y - low + 1] - share[x - low]) / (y - x + 1)
+        touched = slice(met.start // size, (met.stop - 1) // size + 1) if ordered else slice(None)
+        sums[touched] = blocks[touched].sum(1)
     return out
