@@ -28,11 +28,11 @@ def adf_statistic(series: np.ndarray, lags: int = 1, trend: bool = False) -> flo
     return float(beta[0] / math.sqrt(cov[0, 0])) if cov[0, 0] > 0 else math.nan
 
 
-def sup_adf(series: np.ndarray, least: int = 20, lags: int = 1) -> np.ndarray:
+def sup_adf(series: np.ndarray, least: int = 20, lags: int = 1, chunk: int = 1 << 15) -> np.ndarray:
     """For every end the largest ADF statistic (constant and trend) over all starts; missing before ``least`` rows.
 
     The regressions of one end differ in their first row alone, so their cross products are differences
-    of running sums and all starts are solved at once."""
+    of running sums; about ``chunk`` regressions are solved at once, those near singular by pseudo-inverses."""
     out = np.full(len(series), math.nan)
     if len(series) < least:
         return out
@@ -42,18 +42,46 @@ def sup_adf(series: np.ndarray, least: int = 20, lags: int = 1) -> np.ndarray:
     cols = np.stack([x[lags:-1], *(d[lags - k : len(d) - k] for k in range(1, lags + 1)), np.ones(n), np.arange(n) / n, d[lags:]], 1)
     run = np.concatenate([np.zeros((1, cols.shape[1], cols.shape[1])), np.cumsum(cols[:, :, None] * cols[:, None, :], 0)])
     p = cols.shape[1] - 1
-    for end in range(least, len(series) + 1):
-        cross = run[end - lags - 1] - run[: end - least + 1]
-        rows = end - lags - 1 - np.arange(len(cross))
-        inverse = np.linalg.pinv(cross[:, :p, :p], hermitian=True)
-        beta = np.einsum("sij,sj->si", inverse, cross[:, :p, p])
-        rest = np.maximum(cross[:, p, p] - np.einsum("si,si->s", beta, cross[:, :p, p]), 0)
-        var = inverse[:, 0, 0] * rest / np.maximum(1, rows - p)
-        t = np.where((rows >= lags + 4) & (var > 0), beta[:, 0] / np.sqrt(np.where(var > 0, var, 1)), math.nan)
-        out[end - 1] = np.nanmax(t) if not np.all(np.isnan(t)) else math.nan
+    order = [p - 2, p - 1, *range(1, lags + 1), 0, p]  # the level last: its coefficient is what is left when the others are swept out
+    firsts = np.arange(least, len(series) + 1)
+    counts = firsts - least + 1
+    for part in np.split(firsts, np.flatnonzero(np.diff(np.cumsum(counts) // chunk)) + 1):
+        size = part - least + 1
+        cuts = np.cumsum(size) - size
+        end = np.repeat(part - lags - 1, size)
+        start = np.arange(len(end)) - np.repeat(cuts, size)
+        c = {(i, j): run[end, order[i], order[j]] - run[start, order[i], order[j]] for i in range(p + 1) for j in range(i, p + 1)}
+        rows, weak = end - start, np.zeros(len(end), bool)
+        whole = [c[i, i] for i in range(p)]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for k in range(p - 1):
+                weak |= ~(c[k, k] > 1e-8 * whole[k])
+                for i in range(k + 1, p + 1):
+                    f = c[k, i] / c[k, k]
+                    for j in range(i, p + 1):
+                        c[i, j] = c[i, j] - f * c[k, j]
+            level, both = c[p - 1, p - 1], c[p - 1, p]
+            weak |= ~(level > 1e-8 * whole[p - 1])
+            var = np.maximum(c[p, p] - both * both / level, 0) / level / np.maximum(1, rows - p)
+            t = np.where((rows >= lags + 4) & (var > 0), both / level / np.sqrt(np.where(var > 0, var, 1)), math.nan)
+        weak = np.flatnonzero(weak)
+        for at in range(0, len(weak), 4096):
+            w = weak[at : at + 4096]
+            t[w] = _level_statistic(run[end[w]] - run[start[w]], rows[w], lags)
+        out[part - 1] = np.fmax.reduceat(t, cuts)
     return out
 
 
+def _level_statistic(cross: np.ndarray, rows: np.ndarray, lags: int) -> np.ndarray:
+    """t statistics of the first coefficient from cross products that may be singular."""
+    p = cross.shape[1] - 1
+    inverse = np.linalg.pinv(cross[:, :p, :p], hermitian=True)
+    beta = np.einsum("sij,sj->si", inverse, cross[:, :p, p])
+    rest = np.maximum(cross[:, p, p] - np.einsum("si,si->s", beta, cross[:, :p, p]), 0)
+    var = inverse[:, 0, 0] * rest / np.maximum(1, rows - p)
+    return np.where((rows >= lags + 4) & (var > 0), beta[:, 0] / np.sqrt(np.where(var > 0, var, 1)), math.nan)
+
+
 def least_difference(series: np.ndarray, critical: float = -2.86, threshold: float = 0.01) -> float:
     """Smallest d of 0, 0.05, ... 1 whose fractional difference passes the ADF test; 1 if none does."""
     for d in np.arange(0, 1.0001, 0.05):
