@@ -201,17 +201,17 @@ def linear_models(spark, d):
     """Ridge, lasso and elastic net without intercept on centred targets; out-of-sample R² against zero."""
     w = Window.partitionBy("entity").orderBy("month")
     p = panel(spark, d).withColumn("t", F.lead("ret").over(w)).where("t is not null and ret is not null")
-    s = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(p)
+    s = durable(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(p).select("month", "t", "features"))  # written once: each fit passes over it
     train, test = s.where("month < date'1999-01-01'"), s.where("month >= date'1999-01-01'")
     centre = train.agg(F.avg("t")).first()[0] or 0.0
     train = train.withColumn("label", F.col("t") - centre)
-    out = None
+    scores = []
     for name, mix in (("ridge", 0.0), ("lasso", 1.0), ("elastic_net", 0.5)):
-        model = LinearRegression(fitIntercept=False, regParam=0.01, elasticNetParam=mix, standardization=False).fit(train)
-        e = model.transform(test).withColumn("e", F.col("t") - F.col("prediction") - centre)
-        row = e.agg(F.lit(name).alias("model"), (1 - F.sum(F.col("e") * F.col("e")) / F.sum(F.col("t") * F.col("t"))).alias("oos_r2"))
-        out = row if out is None else out.union(row)
-    return out
+        model = LinearRegression(fitIntercept=False, regParam=0.01, elasticNetParam=mix, standardization=False, predictionCol=name).fit(train)
+        test = model.transform(test)
+        e = F.col("t") - F.col(name) - centre
+        scores.append(F.struct(F.lit(name).alias("model"), (1 - F.sum(e * e) / F.sum(F.col("t") * F.col("t"))).alias("oos_r2")))
+    return test.agg(F.array(*scores).alias("s")).select(F.explode("s").alias("s")).select("s.*")
 
 
 _MOMENTS = " union all ".join(f"select '{c}' as feature, round(avg({c}), 6) as mean, round(var_samp({c}), 6) as variance from s" for c in [*FEATURES, "probe"])
